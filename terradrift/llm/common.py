@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terradrift.ship import ship
+
 #: Most rows of an id list that may be broadcast; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 1_000_000
 
@@ -18,6 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +51,7 @@ class Scratch:
     disk is needed to read them again."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

@@ -28,14 +28,14 @@ def words(text: Column) -> Column:
     return F.split(bare, r"[ \t\n\x0B\f\r]+")
 
 
-def shingles(df: DataFrame, key: str, text: str, width: int, whole: bool) -> DataFrame:
-    """(key, s array<bigint>): hashes of `width` words each, with repeats. whole: a shorter text is one shingle."""
-    split = df.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).where("w[0] <> ''")
-    if not whole:
-        split = split.where(F.size("w") >= width)
-    n = F.least(F.size("w"), F.lit(width)) if whole else F.lit(width)
-    one = lambda i: F.xxhash64(*[F.get("w", i + p) for p in range(width)])  # noqa: E731  nulls beyond the end don't change the hash
-    return split.select("id", F.transform(F.sequence(F.lit(0), F.size("w") - n), one).alias("s"))
+def shingles(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, s array<bigint>): hashes of `width` words each, with repeats; null for a shorter text. The explode
+    of one array makes no rows; filters that the optimizer infers on s stop there instead of being pushed
+    below, where each would split and hash every text again."""
+    split = df.select(F.col(key).alias("id"), words(F.col(text)).alias("w"))
+    one = lambda i: F.xxhash64(*[F.get("w", i + p) for p in range(width)])
+    some = (F.size("w") >= width) & (F.get("w", F.lit(0)) != "")
+    return split.select("id", F.explode(F.array(F.when(some, F.transform(F.sequence(F.lit(0), F.size("w") - width), one)))).alias("s"))
 
 
 def item_sketches(items: DataFrame, threshold: float, width: int = 5) -> DataFrame:
@@ -54,14 +54,14 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     """doc_id, item_id, n_item (the item's shingles), n_shared, containment, of every pair at or over threshold."""
     scratch = Scratch(docs.sparkSession, "decon")
     sets = scratch.save(item_sketches(items.select("item_id", "text"), threshold, width), "items")
-    bounds = sets.groupBy("width", "size_class").agg(F.max(F.element_at("sketch", -1)).alias("bound"), F.min("need").alias("need")).collect()  # a row a size class
+    bounds = sets.groupBy("width", "size_class").agg(F.max(F.element_at("sketch", -1)).alias("bound")).collect()  # a row a size class
     sketch = _sized(sets.select("item_id", "width", "size_class", "need", F.explode("sketch").alias("h")))
     found = None
     for w in sorted({b["width"] for b in bounds}):
         here = [b for b in bounds if b["width"] == w]
-        most, least = max(b["bound"] for b in here), min(b["need"] for b in here)
-        rows = shingles(docs, "doc_id", "text", w, False).where(F.size("s") >= least)
-        rows = rows.select("id", F.size("s").alias("size"), F.explode(F.filter("s", lambda h: h <= most)).alias("h"))  # noqa: B023
+        most = max(b["bound"] for b in here)
+        rows = shingles(docs, "doc_id", "text", w)
+        rows = rows.select("id", F.size("s").alias("size"), F.explode_outer(F.filter("s", lambda h: h <= most)).alias("h"))  # noqa: B023
         hits = rows.join(sketch.where(F.col("width") == w), "h").where("size >= need").select(F.col("id").alias("doc_id"), "item_id")
         found = hits if found is None else found.unionByName(hits)
     schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
@@ -81,7 +81,7 @@ def _verify(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame
     near = with_ids(docs.select("doc_id", "text"), pairs.select("doc_id"), "left_semi")
     shared = None
     for w in widths:
-        rows = shingles(near, "doc_id", "text", w, False).select(F.col("id").alias("doc_id"), F.explode("s").alias("h"))
+        rows = shingles(near, "doc_id", "text", w).select(F.col("id").alias("doc_id"), F.explode_outer("s").alias("h"))
         hits = rows.join(wanted.where(F.col("width") == w), "h").select("doc_id", "item_id", "n", "need", "h").distinct()
         shared = hits if shared is None else shared.unionByName(hits)
     shared = shared.groupBy("doc_id", "item_id", "n", "need").agg(F.count("*").alias("n_shared")).where("n_shared >= need")
