@@ -32,6 +32,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.toxicity import fit, score
 
@@ -39,7 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op10_toxicity)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -64,4 +70,12 @@ ORACLE: dict[str, str] = {
         with d as (select doc_id, sha256({_LOW.format("coalesce(text, '')")}) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
         from d window w as (partition by text_sha256)""",
+    "op4_ngram_join": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        link as materialized (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+                 group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+        reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join link l on l.a = r.b)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id from d left join n using (doc_id) join reach r on r.a = d.doc_id group by d.doc_id, n.n""",
 }
