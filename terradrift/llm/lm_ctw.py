@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terradrift.llm.common import Scratch, Words, blocks, utf8
 from terradrift.llm.common import LOWER_BYTES
 
-DEPTH = 4
+DEPTH = 5
 MOST_CONTEXTS = 60_000
 HEAD_SHARE, CONTEXT_SHARE = 1 << 17, 1 << 18
 #: Stands before and after each text; no byte of UTF-8.
