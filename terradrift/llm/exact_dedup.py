@@ -31,10 +31,13 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def heavy_hitters(rows: DataFrame, n: int) -> DataFrame:
     """(digest, keep_id, group_size) of the digests with at least n / HEAVY_SHARE rows; HEAVY_SHARE rows at most."""
     least = max(LEAST_HEAVY, -(-n // HEAVY_SHARE))
+    if n < least:
+        return rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size")).limit(0)
     short = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     parts = rows.select(short.alias("short"), (F.spark_partition_id() % 64).alias("part"))
     parts = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(short, {TRACKED})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"inline(approx_top_k_estimate(s, {CANDIDATES}))"))
+    # 64 summaries at most; a partition without any would break the combining aggregate
+    top = parts.coalesce(1).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"inline(approx_top_k_estimate(s, {CANDIDATES}))"))
     top = top.where(F.col("count") >= least).select(F.col("item").alias("short"))
     found = rows.withColumn("short", short).join(F.broadcast(top), "short", "left_semi")
     return found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where(F.col("group_size") >= least)
