@@ -38,6 +38,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from terradrift.llm.token_store import stored_documents
+
+    return stored_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.lm_ctw import score_documents
 
@@ -57,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op7_lm_scoring, op9_language_id, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op5_token_store, op7_lm_scoring, op9_language_id, op10_toxicity)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
