@@ -52,6 +52,15 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from terradrift.llm.sentencepiece_lattice import PieceTable, digest, encode
+
+    pieces = PieceTable.load(public_tokenizers.path("piece_bpe_32k.model"), "bpe")
+    return digest(encode(table(spark, sf_dir, "documents"), pieces), pieces)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.language_id import identify
 
@@ -65,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op5_token_store, op7_lm_scoring, op9_language_id, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op5_token_store, op7_lm_scoring, op8_sentencepiece, op9_language_id, op10_toxicity)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
