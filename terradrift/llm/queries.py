@@ -46,6 +46,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.lm_ctw import score_documents
 
@@ -74,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op5_token_store, op7_lm_scoring, op8_sentencepiece, op9_language_id, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_exact_dedup, op4_ngram_join, op5_token_store, op6_pii, op7_lm_scoring, op8_sentencepiece, op9_language_id, op10_toxicity)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
