@@ -5,13 +5,13 @@ hashes; two different shingles share one with probability 2**-64). The result is
 
 1. Profile: size and class of every document; equal sets have one class, so exact copies of any number
    are one row of the matrix.
-2. Order: shingles that are frequent in a fixed quarter of the classes come last. Any order is right,
+2. Order: shingles that are frequent in a fixed eighth of the classes come last. Any order is right,
    this one keeps common passages out of the prefixes; the sample decides nothing else.
 3. Blocks: a set of n shingles that links to another shares ceil(0.8 n) with it at least, so l of them
    lie in both prefixes of length n - ceil(0.8 n) + l. The incidence of the prefixes is dealt into blocks
    of columns; each block multiplies with itself, giving pairs and overlap counts, which are summed over
-   the blocks; pairs below their bound l, or whose sizes cannot link, are discarded. Columns with more
-   than DENSE_COLUMN classes emit a star instead of pairs.
+   the blocks; pairs below their bound l, or whose sizes cannot link, are discarded. Columns of very many
+   classes emit a star instead of pairs.
 4. Clusters: connected components of what remains. Each is one dense or sparse product over whole sets
    in one task, which links exactly. A cluster over TASK_SHINGLES is cut into chunks: products within
    chunks first, then between representatives of the components so found, then exactly between chunks,
@@ -34,10 +34,12 @@ from terradrift.llm.common import BROADCAST_ROWS, Scratch, Words, blocks, connec
 SIMILAR = 80
 WIDTH = 5
 #: A shingle is frequent from so many occurrences in the sampled classes, one in SAMPLE; raised until MOST_FREQUENT hold.
-SAMPLE, FREQUENT, MOST_FREQUENT = 4, 6, 2_000_000
+#: Columns of DENSE_FACTOR times the documents that this stands for are so rarely missed by the sample that only texts
+#: made of frequent shingles have them in their prefix.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2_000_000
 #: Prefix entries, and shingles of whole sets, that a task multiplies.
 BLOCK_ENTRIES, TASK_SHINGLES = 600_000, 800_000
-DENSE_COLUMN = 24
+DENSE_FACTOR = 4
 
 _U = np.uint64
 
@@ -103,8 +105,8 @@ def _collect(batches, entries, buckets: int, names: list[str]):
         yield _dealt(parts, buckets, names)
 
 
-def _frequent(scratch: Scratch, docs: DataFrame, total: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles, MOST_FREQUENT at most."""
+def _frequent(scratch: Scratch, docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of frequent shingles, MOST_FREQUENT at most, and the count they have in the sample at least."""
     import pandas as pd
 
     buckets = max(1, -(-total // (SAMPLE * 2 * BLOCK_ENTRIES)))
@@ -122,7 +124,7 @@ def _frequent(scratch: Scratch, docs: DataFrame, total: int) -> np.ndarray:
     while rows.where(F.col("n") >= least).count() > MOST_FREQUENT:
         least *= 2
     got = rows.where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(_U))
+    return np.sort(got.view(_U)), least
 
 
 def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[: n - need(n) + int(extra(n))]
 
 
-def _block_pairs(pdf):
+def _block_pairs(pdf, dense: int):
     """Product of one block of columns: pairs of classes with their overlap count here and their bound."""
     import pandas as pd
 
@@ -151,7 +153,7 @@ def _block_pairs(pdf):
     a, b, star = [], [], []
     for k in np.unique(size[size > 1]):
         at = start[size == k]
-        if k <= DENSE_COLUMN:
+        if k <= dense:
             x, y = np.triu_indices(int(k), 1)
             a.append((at[:, None] + x).ravel())
             b.append((at[:, None] + y).ravel())
@@ -170,7 +172,8 @@ def _block_pairs(pdf):
 
 
 def candidate_edges(scratch: Scratch, docs: DataFrame, total: int) -> DataFrame:
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(scratch, docs, total))  # MOST_FREQUENT bounds it
+    found, least = _frequent(scratch, docs, total)
+    frequent, dense = docs.sparkSession.sparkContext.broadcast(found), DENSE_FACTOR * SAMPLE * least  # MOST_FREQUENT bounds it
     buckets = max(1, -(-total // (3 * BLOCK_ENTRIES)))
 
     def dealt(batches):
@@ -181,7 +184,7 @@ def candidate_edges(scratch: Scratch, docs: DataFrame, total: int) -> DataFrame:
         yield from _collect(batches, entries, buckets, ["h", "c", "n"])
 
     pairs = docs.select("text").mapInArrow(dealt, "bucket int, h binary, c binary, n binary").groupBy("bucket")
-    pairs = pairs.applyInPandas(_block_pairs, "a long, b long, overlap long, bound long")
+    pairs = pairs.applyInPandas(lambda pdf: _block_pairs(pdf, dense), "a long, b long, overlap long, bound long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.min("bound").alias("bound"))
     return scratch.save(pairs.where("overlap >= bound").select("a", "b"), "candidates")
 
