@@ -25,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import Scratch, Words, blocks, utf8
-from terradrift.llm.common import LOWER_BYTES
+from terradrift.llm.common import LOWER_BYTES, Scratch, Words, blocks, utf8
+from terradrift.llm.token_store import _local, open_file, write_file
 
 DEPTH = 5
-MOST_CONTEXTS = 60_000
+MOST_CONTEXTS = 50_000
 HEAD_SHARE, CONTEXT_SHARE = 1 << 17, 1 << 18
 #: Stands before and after each text; no byte of UTF-8.
 EDGE = 255
@@ -121,6 +121,10 @@ def _log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - 1.1447298858494002  # log pi
 
 
+#: Contexts that are worked on at a time.
+CHUNK = 4096
+
+
 def build_tree(depth: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each byte in each context, and the context after it. Rows (depth, context and
     byte packed, count); the empty context is row 0 of the tables."""
@@ -128,46 +132,56 @@ def build_tree(depth: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.nd
     names = [np.unique(context[depth == d]) for d in range(DEPTH + 1)]
     names[0] = np.zeros(1, np.int64)
     base = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-    counts = []
+    total = int(base[-1])
+    counts = np.zeros((total, 256), np.float32)
     for d in range(DEPTH + 1):
         here = depth == d
-        c = np.zeros((len(names[d]), 256))
-        np.add.at(c, (np.searchsorted(names[d], context[here]), byte[here]), n[here])
-        counts.append(c)
-    parent = [None] + [np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, DEPTH + 1)]
-    weight, lump_kt = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
-    below = None
+        counts[base[d] + np.searchsorted(names[d], context[here]), byte[here]] = n[here]
+    parent = np.zeros(total, np.int64)
+    for d in range(1, DEPTH + 1):
+        parent[base[d] : base[d + 1]] = base[d - 1] + np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1))
+    weight, lump = np.ones((total, 255), np.float32), np.zeros((total, 255), np.float32)
+    below = used = None
     for d in range(DEPTH, -1, -1):
-        log_e = _log_kt(*_nodes(counts[d]))
-        if d == DEPTH:
-            log_w, weight[d] = log_e, None
-        else:
-            rest = counts[d].copy()
-            np.subtract.at(rest, parent[d + 1], counts[d + 1])
-            z, o = _nodes(np.maximum(rest, 0))
-            split = below + _log_kt(z, o)
-            log_w = np.logaddexp(log_e, split) - np.log(2)
-            weight[d] = np.exp(log_e - np.log(2) - log_w).astype(np.float32)
-            lump_kt[d] = ((o + 0.5) / (z + o + 1)).astype(np.float32)
-        if d:
-            below = np.zeros((len(names[d - 1]), 255))
-            np.add.at(below, parent[d], log_w)
-    score, after = np.empty((base[-1], 256), np.float32), np.zeros((base[-1], 256), np.int32)
-    done = left = None
+        first, last = base[d], base[d + 1]
+        up_below = np.zeros((len(names[d - 1]), 255)) if d else None
+        up_used = np.zeros((len(names[d - 1]), 256)) if d else None
+        for i in range(first, last, CHUNK):
+            rows = slice(i, min(i + CHUNK, last))
+            own = counts[rows].astype(np.float64)
+            log_w = _log_kt(*_nodes(own))
+            if d < DEPTH:
+                at = slice(rows.start - first, rows.stop - first)
+                zero, one = _nodes(np.maximum(own - used[at], 0))
+                split = below[at] + _log_kt(zero, one)
+                both = np.logaddexp(log_w, split)
+                weight[rows] = np.exp(log_w - both)
+                lump[rows] = (one + 0.5) / (zero + one + 1)
+                log_w = both - np.log(2)
+            if d:
+                up = parent[rows] - base[d - 1]
+                np.add.at(up_below, up, log_w)
+                np.add.at(up_used, up, own)
+        below, used = up_below, up_used
+    score, after = np.empty((total, 256), np.float32), np.zeros((total, 256), np.int32)
+    done, left = np.zeros((total, 255), np.float32), np.ones((total, 255), np.float32)
     for d in range(DEPTH + 1):
-        zero, one = _nodes(counts[d])
-        kt = ((one + 0.5) / (zero + one + 1)).astype(np.float32)
-        up_done, up_left = (done[parent[d]], left[parent[d]]) if d else (np.zeros_like(kt), np.ones_like(kt))
-        w = weight[d] if d < DEPTH else np.float32(1)
-        done, left = up_done + up_left * w * kt, up_left * (1 - w)
-        q = np.clip(done + left * lump_kt[d] if d < DEPTH else done, 1e-7, 1 - 1e-7)
-        total = np.zeros((len(q), 1), np.float32)
-        for level in range(8):
-            here = q[:, (1 << level) - 1 : (2 << level) - 1]
-            total = np.stack([total + np.log10(1 - here), total + np.log10(here)], 2).reshape(len(q), -1)
-        score[base[d] : base[d + 1]] = total
-        if d:
-            after[base[d] : base[d + 1]] = after[base[d - 1] + parent[d]]
+        for i in range(base[d], base[d + 1], CHUNK):
+            rows = slice(i, min(i + CHUNK, base[d + 1]))
+            zero, one = _nodes(counts[rows])
+            kt = (one + 0.5) / (zero + one + 1)
+            if d:
+                done[rows], left[rows] = done[parent[rows]], left[parent[rows]]
+            done[rows] += left[rows] * weight[rows] * kt
+            left[rows] *= 1 - weight[rows]
+            q = np.clip(done[rows] + left[rows] * lump[rows], 1e-7, 1 - 1e-7)
+            log_p = np.zeros((len(q), 1), np.float32)
+            for level in range(8):
+                here = q[:, (1 << level) - 1 : (2 << level) - 1]
+                log_p = np.stack([log_p + np.log10(1 - here), log_p + np.log10(here)], 2).reshape(len(q), -1)
+            score[rows] = log_p
+            if d:
+                after[rows] = after[parent[rows]]
         if d < DEPTH:
             longer = names[d + 1]
             at = np.searchsorted(names[d], longer >> 8)
@@ -176,6 +190,17 @@ def build_tree(depth: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.nd
     return score, after
 
 
+def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tables; mapped where the file is local, so that workers on a machine share them."""
+    if (local := _local(path)) is not None:
+        data = np.memmap(local, np.uint8, "r")
+    else:
+        with open_file(path) as f:
+            data = np.frombuffer(f.read(), np.uint8)
+    half = len(data) // 2
+    return data[:half].view(np.float32), data[half:].view(np.int32)
+
+
 def score_texts(score: np.ndarray, after: np.ndarray, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
     """log10 probability of texts i to j, ends included. Pieces of a text run side by side, each after the
     DEPTH bytes before it, which determine its context."""
@@ -187,20 +212,20 @@ def score_texts(score: np.ndarray, after: np.ndarray, data: np.ndarray, offsets:
     view = np.lib.stride_tricks.as_strided(padded, (rows, width + DEPTH), (width, 1))
     columns = np.ascontiguousarray(view.T).astype(np.int32)
     state = np.zeros(rows, np.int32)
-    flat_score, flat_after = score.ravel(), after.ravel()
     out = np.empty((width, rows), np.float32)
     for k in range(width + DEPTH):
         cell = state * 256 + columns[k]
         if k >= DEPTH:
-            out[k - DEPTH] = flat_score[cell]
-        state = flat_after[cell]
+            out[k - DEPTH] = score[cell]
+        state = after[cell]
     value = out.T.ravel()[:n].astype(np.float64)
     value[~target] = 0
     return np.add.reduceat(value, first)
 
 
-def learn(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """Counts table (kind, key, n) of the training documents, and the tables of the tree."""
+def learn(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
+    """Counts table (kind, key, n) of the training documents, and the file of the tree's tables. The tree is
+    built by one task from the kept contexts, which MOST_CONTEXTS bounds; the driver never holds it."""
     rows = docs.select("text").mapInArrow(_counted, "kind int, key long, n long")
     counts = scratch.save(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     grams = counts.where("kind = 0")
@@ -213,8 +238,20 @@ def learn(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarra
     while size.where(F.col("size") >= least).count() > MOST_CONTEXTS:
         least *= 2
     kept = size.where((F.col("size") >= least) | (F.col("depth") == 0)).select("depth", "context")
-    got = nodes.join(kept, ["depth", "context"], "left_semi").select("depth", "key", "n").toPandas()
-    return counts, build_tree(got["depth"].to_numpy(np.int64), got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    path = scratch.path("tree")
+
+    def build(pdfs):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        got = pd.concat([pd.DataFrame({"depth": [], "key": [], "n": []}, dtype=np.int64), *pdfs])
+        tables = build_tree(*(got[c].to_numpy(np.int64) for c in ("depth", "key", "n")))
+        write_file(path, f"a{TaskContext.get().taskAttemptId()}", [t.tobytes() for t in tables])
+        yield pd.DataFrame({"contexts": [len(tables[0])]})
+
+    got = nodes.join(kept, ["depth", "context"], "left_semi").select("depth", "key", "n")
+    scratch.save(got.repartition(1).mapInPandas(build, "contexts long"), "built")
+    return counts, path
 
 
 def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
@@ -229,14 +266,14 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     keys = head["key"].to_numpy(np.int64).view(np.uint64)[order]
     norm = n_all + 0.1 * (distinct + 1)
     logs = np.log10((head["n"].to_numpy(np.float64)[order] + 0.1) / norm)
-    model = docs.sparkSession.sparkContext.broadcast((tree, keys, logs))  # bounded by MOST_CONTEXTS and HEAD_SHARE
+    model = docs.sparkSession.sparkContext.broadcast((keys, logs))  # HEAD_SHARE bounds it
     end_log, end_known = (logs[np.searchsorted(keys, END)], 1) if END in keys else (np.log10(0.1 / norm), 0)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        (score, after), keys, logs = model.value
+        (keys, logs), (score, after) = model.value, _load(tree)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = utf8(batch["text"])
