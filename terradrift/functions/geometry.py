@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # GRS80 ellipsoid and the projection's origin.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
@@ -127,23 +128,23 @@ def reproject_polygon(wkb: bytes | None) -> bytes | None:
     return polygon_wkb(np.column_stack([lon, lat]))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def point_wkb(lon: pd.Series, lat: pd.Series) -> pd.Series:
     return pd.Series([None if a != a or b != b else struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(lon.astype(float), lat.astype(float), strict=True)])
 
 
-@F.pandas_udf("easting double, northing double")
+@F.pandas_udf(T.StructType().add("easting", "double").add("northing", "double"))
 def project(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
     east, north = to_laea(lon.to_numpy(float), lat.to_numpy(float))
     return pd.DataFrame({"easting": east, "northing": north})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_degrees(geometry: pd.Series) -> pd.Series:
     return geometry.map(reproject_polygon)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def geometry_json(geometry: pd.Series) -> pd.Series:
     def one(wkb):
         if wkb is None:
