@@ -43,16 +43,16 @@ def majority(members: DataFrame, by: list[str], name: str) -> DataFrame:
     return top.select(*by, F.col(name).alias("dom_class"), F.round(F.col("n") / F.col("total"), 3).alias("class_purity"))
 
 
-def summarise(members: DataFrame, min_purity: float = 0.5) -> DataFrame:
+def summarise(members: DataFrame, min_purity: float = 0.5, digits: int = 2) -> DataFrame:
     """One row a cluster, without geometry. members: label >= 0, e, n, v, coherence, class_1."""
     m = members.where("label >= 0")
     stats = m.groupBy("label").agg(
         F.count("*").alias("n_points"),
-        F.round(F.avg("v"), 2).alias("vel_mean"),
-        F.round(F.stddev_pop("v"), 2).alias("vel_std"),
-        F.round(F.min("v"), 2).alias("vel_min"),
-        F.round(F.max("v"), 2).alias("vel_max"),
-        F.round(F.avg("coherence"), 3).alias("coh_mean"),
+        F.round(F.avg("v"), digits).alias("vel_mean"),
+        F.round(F.stddev_pop("v"), digits).alias("vel_std"),
+        F.round(F.min("v"), digits).alias("vel_min"),
+        F.round(F.max("v"), digits).alias("vel_max"),
+        F.round(F.avg("coherence"), digits + 1).alias("coh_mean"),
     )
     out = stats.join(majority(m, ["label"], "class_1"), "label")
     mixed = F.col("class_purity") < min_purity

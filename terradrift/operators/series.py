@@ -105,7 +105,8 @@ def sql_features(rows: DataFrame, least: int = 10, least_half: int = 5, digits:
         "range_mm": F.when(ok, F.col("hi") - F.col("lo")),
         "noise_p90": F.when(ok, F.col("p90")),
     }
-    shown = {k: F.round(v, digits) if digits is not None else v for k, v in out.items()}
+    exact = {"range_mm", "noise_p90"}  # differences of values with few decimals, which could lie on the edge of rounding
+    shown = {k: F.round(v, max(10, digits) if k in exact else digits) if digits is not None else v for k, v in out.items()}
     return m.select(*KEY, F.col("n").alias("n_valid"), *[v.alias(k) for k, v in shown.items()])
 
 

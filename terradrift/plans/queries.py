@@ -183,7 +183,7 @@ def _features_sql(kind: str) -> str:
     select source_file, pid, n as n_valid, round(case when n >= 10 then b end, 6) as v_robust, round(case when n >= 10 and n1 >= 5 and n2 >= 5 then h1 end, 6) as v_first_half, round(case when n >= 10 and n1 >= 5 and n2 >= 5 then h2 end, 6) as v_second_half,
     round(case when n >= 10 and n1 >= 5 and n2 >= 5 then h2 - h1 end, 6) as v_diff, round(case when n >= 10 then sqrt(ssr / n) end, 6) as rmse_detrended, round(case when n >= 10 then q end, 6) as quad_coeff,
     round(case when n >= 10 then swr * swr / sww / sst end, 6) as quad_r2, round(n::double / n_dates, 6) as n_valid_frac, round(case when n >= 10 then acf end, 6) as acf_lag1, round(case when n >= 10 then cusum end, 6) as cusum_score,
-    round(case when n >= 10 then 1 - ssr / sst end, 6) as velocity_r2, round(case when n >= 10 then span end, 6) as range_mm, round(case when n >= 10 then p90 end, 6) as noise_p90 from m left join q using (source_file, pid) left join e using (source_file, pid)"""
+    round(case when n >= 10 then 1 - ssr / sst end, 6) as velocity_r2, round(case when n >= 10 then span end, 10) as range_mm, round(case when n >= 10 then p90 end, 10) as noise_p90 from m left join q using (source_file, pid) left join e using (source_file, pid)"""
 
 
 @query(_features_sql("supplier"))
@@ -191,9 +191,9 @@ def series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.sql_features(series.on_axis(A.long_series(spark, sf_dir)), digits=6)
 
 
-@query(_features_sql("part").replace(", 6) as ", ", 4) as "))
+@query(_features_sql("part").replace(", 6) as ", ", 5) as "))
 def series_features_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.sql_features(series.on_axis(A.long_series(spark, sf_dir, "part")), digits=4)
+    return series.sql_features(series.on_axis(A.long_series(spark, sf_dir, "part")), digits=5)
 
 
 @query()
@@ -206,7 +206,7 @@ def kernel_features_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel's values for the features that SQL has."""
     out = kernel_features(series.to_arrays(A.long_series(spark, sf_dir)))
     names = [c for c in series.sql_features(series.on_axis(A.long_series(spark, sf_dir))).columns if c not in ("source_file", "pid", "n_valid")]
-    return out.select("source_file", "pid", "n_valid", *[F.round(n, 6).alias(n) for n in names])
+    return out.select("source_file", "pid", "n_valid", *[F.round(n, 10 if n in ("range_mm", "noise_p90") else 6).alias(n) for n in names])
 
 
 @query(f"with {_series_sql('user')} select source_file, pid, acq_date, round(disp, 6) as disp from ser")
@@ -352,7 +352,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(dbscan(p, 100, 3, 5), "idx")
 
 
-_SUMMARY = """m as (select * from lab where label >= 0), s as (select label, count(*) as n_points, round(avg(v), 2) as vel_mean, round(stddev_pop(v), 2) as vel_std, round(min(v), 2) as vel_min, round(max(v), 2) as vel_max, round(avg(coherence), 3) as coh_mean from m group by label),
+_SUMMARY = """m as (select * from lab where label >= 0), s as (select label, count(*) as n_points, round(avg(v), 8) as vel_mean, round(stddev_pop(v), 8) as vel_std, round(min(v), 8) as vel_min, round(max(v), 8) as vel_max, round(avg(coherence), 9) as coh_mean from m group by label),
     k as (select label, class_1, count(*) as c, row_number() over (partition by label order by count(*) desc, class_1) as r, sum(count(*)) over (partition by label) as t from m group by label, class_1),
     sm as (select 'CL_' || lpad(cast(s.label as varchar), 4, '0') as cluster_id, n_points, class_1 as dom_class, round(c::double / t, 3) as class_purity, round(c::double / t, 3) < 0.5::double as is_mixed, vel_mean, vel_std, vel_min, vel_max, coh_mean,
     case when round(c::double / t, 3) < 0.5::double then '#ffffff' else '#cccccc' end as color, s.label from s join k on k.label = s.label and k.r = 1)"""
@@ -360,7 +360,8 @@ _SUMMARY = """m as (select * from lab where label >= 0), s as (select label, cou
 
 @query(f"with recursive {_dbscan_sql(_CUST)}, {_SUMMARY} select * from sm")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.summarise(_members(spark, sf_dir))
+    """With more digits than shown, where means don't lie on the edge of rounding."""
+    return clusters.summarise(_members(spark, sf_dir), digits=8)
 
 
 @query(f"with recursive {_dbscan_sql(_CUST)}, {_SUMMARY} select dom_class, count(*) as n_clusters, sum(n_points)::bigint as total_pts from sm group by dom_class")
