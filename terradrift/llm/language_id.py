@@ -83,8 +83,9 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
 def completed(step: np.ndarray) -> np.ndarray:
     """Where no transition exists a phrase ends and the next begins with that character (top bit set); a
     character that the sample does not have at all is a phrase of its own."""
-    restart = np.maximum(step[0], 0)
-    return np.where(step >= 0, step, restart[None, :] | np.int32(1 << 30)).astype(np.int32)
+    after = len(step)  # the state after such a character, from which any character begins a phrase
+    restart = np.where(step[0] >= 0, step[0], after) | np.int32(1 << 30)
+    return np.vstack([np.where(step >= 0, step, restart[None, :]), restart[None, :]]).astype(np.int32)
 
 
 def _units(text: str | None) -> np.ndarray:
