@@ -167,6 +167,20 @@ def blocks(offsets: np.ndarray, most: int = BLOCK):
         i = j
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    return hash_values(_TABLE[data], start, end)
+
+
+def hash_values(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of random values that stand for symbols."""
+    n = len(values)
+    up, down = _pow(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of documents i to j: hash (of the lower-cased bytes) and the range of each document."""
 
@@ -185,10 +199,7 @@ class Words:
         after[edge[1:]] = False
         self.start = np.flatnonzero(word & ~before)
         self.end = np.flatnonzero(word & ~after) + 1
-        up, down = _pow(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[raw] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = hash_ranges(raw, self.start, self.end)
         self.first = np.searchsorted(self.start, self.at)  # word range of document d: first[d] to first[d + 1]
 
     def shingles(self, d: int, k: int = 5) -> np.ndarray:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import Scratch, mix
+from terradrift.llm.common import Scratch, blocks, hash_ranges, mix, utf8
 from terradrift.ship import ship
 
 MAGIC = b"TDIDS001"
@@ -36,9 +36,9 @@ END_ID = 2
 #: Key of a null doc_id.
 NULL_KEY = -(1 << 63)
 #: Text bytes of a shard, about; keys of an index bucket, about.
-SHARD_BYTES, BUCKET_KEYS = 48 << 20, 200_000
-#: Words whose ids an encoder remembers; beyond it the store starts afresh.
-WORD_CACHE = 400_000
+SHARD_BYTES, BUCKET_KEYS = 32 << 20, 200_000
+#: Units whose ids an encoder remembers; beyond it the store starts afresh.
+WORD_CACHE = 800_000
 
 _U = np.uint64
 
@@ -86,12 +86,32 @@ def open_file(path: str):
 # --- encoding -------------------------------------------------------------------------------------
 
 
+_WORD_END = np.zeros(256, bool)
+_WORD_END[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_OTHER_SPACE = np.zeros(256, bool)
+_OTHER_SPACE[[9, 11, 12, 13, *range(0x1C, 0x20)]] = True
+
+
+def odd_spaces(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than the space and the line break, in UTF-8."""
+    one, two = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    one[:-1], two[:-2] = data[1:], data[2:]
+    odd = _OTHER_SPACE[data]
+    odd |= (data == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (data == 0xE1) & (one == 0x9A) | (data == 0xE3) & (one == 0x80) & (two == 0x80)
+    return odd | (data == 0xE2) & ((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F))
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level pre-tokens never cross a single space between two characters that are no white space, so a
-    text is encoded as words, each with its leading space, and the ids of a word are remembered. Texts with
-    other white space beside their spaces are encoded whole."""
+    Byte-level pre-tokens never cross a single space or line break between two characters that are no white
+    space, nor the border between a letter or digit and one mark of punctuation before such a space. So a text is
+    cut there into units (a word with its leading space, a mark, a line break). The distinct units of a block
+    are found by hash; the library encodes those not yet known, many in a call with line breaks between, and
+    the ids of all places are gathered. Texts with other white space, or more than one together, are encoded
+    whole. Two units share a 64-bit hash with probability 2**-64."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,38 +121,117 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self._forget()
+        line = self.tokenizer.encode("a\nb\n c", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 5 and line[1] == line[3] else None
+
+    def _forget(self) -> None:
+        """Known units: sorted hashes, and where in the pool their ids begin and how many there are."""
+        self.keys, self.begin, self.width = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, self.dtype)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(g.ids, self.dtype).tobytes() for g in got]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        import pyarrow as pa
+
+        return self.encode_utf8(*utf8(pa.array(texts, pa.large_string())))
+
+    def encode_utf8(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        known, split, missing = self.known, [], set()
-        if len(known) > WORD_CACHE:
-            known.clear()
-        for text in texts:
-            text = text or ""
-            words = text.split(" ")
-            if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
-                words = None if not text.isspace() and text else [text] if text else []
-            split.append(words)
-            for w in words or ():
-                if w not in known:
-                    missing.add(w)
-        self._learn(missing)
-        heads = self._plain([w[0] if w else (t or "") for w, t in zip(split, texts, strict=True)])
-        out = []
-        for words, head in zip(split, heads, strict=True):
-            out.append(b"".join([head, *[known[w] for w in words[1:]], self.end]) if words else head + self.end)
+        out: list[bytes] = []
+        for i, j in blocks(offsets, 3 << 20):
+            out += self._block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        todo = list(words)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            self.known.update(zip(part, self._plain([" " + w for w in part]), strict=True))
+    def _block(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        n, docs = len(data), len(at) - 1
+        gap = (data == 32) | (data == 10)
+        alone = np.zeros(n + 1, bool)  # edges of documents
+        alone[at] = True
+        before, after = np.ones(n, bool), np.ones(n, bool)  # whether white space or an end is there
+        before[1:], after[:-1] = gap[:-1], gap[1:]
+        before[alone[:n]] = True
+        after[alone[1:]] = True
+        odd = np.concatenate([[0], np.cumsum(gap & (before | after) | odd_spaces(data))])
+        simple = (odd[at[1:]] == odd[at[:-1]]) & (self.line is not None)
+        mark = np.zeros(n, bool)
+        mark[1:] = _MARK[data[1:]] & _WORD_END[data[:-1]]
+        cut = alone[:n] | gap | mark & after
+        cut[1:] |= data[:-1] == 10
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        doc = np.repeat(np.arange(docs), np.diff(np.searchsorted(start, at)))
+        start, end, doc = (v[simple[doc]] for v in (start, end, doc))
+        ids, lengths = self._gathered(data, start, end)
+        total = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=lengths, minlength=docs).astype(np.int64))]) * self.dtype.itemsize
+        packed, places = ids.tobytes(), total.tolist()
+        whole = iter(self._plain([data[at[d] : at[d + 1]].tobytes().decode() for d in np.flatnonzero(~simple)]))
+        return [(packed[places[d] : places[d + 1]] if simple[d] else next(whole)) + self.end for d in range(docs)]
+
+    def _gathered(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and the number of each unit's ids."""
+        if not len(start):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        hashes = np.empty(len(start), _U)
+        for lo in range(0, len(start), 1 << 17):  # stays in the cache
+            a, b = start[lo : lo + (1 << 17)], end[lo : lo + (1 << 17)]
+            hashes[lo : lo + len(a)] = hash_ranges(data[a[0] : b[-1]], a - a[0], b - a[0])
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        edge = np.append(True, ranked[1:] != ranked[:-1])
+        unit, first = ranked[edge], order[edge]
+        if len(self.keys) + len(unit) > WORD_CACHE:
+            self._forget()
+        at = np.searchsorted(self.keys, unit)
+        here = np.minimum(at, max(0, len(self.keys) - 1))
+        new = self.keys[here] != unit if len(self.keys) else np.ones(len(unit), bool)
+        if new.any():
+            self._learn(unit[new], data, start[first[new]], end[first[new]])
+            at = np.searchsorted(self.keys, unit)
+        width, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        rank = np.cumsum(edge) - 1
+        width[order], begin[order] = self.width[at][rank], self.begin[at][rank]
+        shift = begin - (np.cumsum(width) - width)
+        return self.pool[np.repeat(shift, width) + np.arange(int(width.sum()))], width
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Units with a leading space and others go to the library apart, 512 in a text."""
+        raw, kind = data.tobytes(), data[start]
+        done_keys, done_width, done_ids = [], [], []
+        line = kind == 10
+        if line.any():
+            done_keys.append(keys[line])
+            done_width.append(np.ones(1, np.int64))
+            done_ids.append(np.array([self.line], self.dtype))
+        for some in (np.flatnonzero(kind == 32), np.flatnonzero((kind != 32) & ~line)):
+            spans = list(zip(start[some].tolist(), end[some].tolist(), strict=True))
+            groups = [slice(i, i + 512) for i in range(0, len(some), 512)]
+            for i in range(0, len(groups), 64):
+                part = groups[i : i + 64]
+                texts = [b"\n".join([raw[a:b] for a, b in spans[g]]).decode() for g in part]
+                for g, encoded in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    ids = np.array(encoded.ids, self.dtype)
+                    keep = ids != self.line
+                    cuts = np.flatnonzero(~keep)
+                    n = len(spans[g])
+                    if len(cuts) == n - 1:
+                        width = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                    else:  # a unit holds what reads as a line break
+                        each = [np.frombuffer(x, self.dtype) for x in self._plain([raw[a:b].decode() for a, b in spans[g]])]
+                        ids, width = np.concatenate(each), np.array([len(x) for x in each])
+                        keep = np.ones(len(ids), bool)
+                    done_keys.append(keys[some[g]])
+                    done_width.append(width)
+                    done_ids.append(ids[keep])
+        new_width = np.concatenate(done_width)
+        new_begin = np.cumsum(new_width) - new_width + len(self.pool)
+        self.pool = np.concatenate([self.pool, *done_ids])
+        merged = np.concatenate([self.keys, *done_keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.begin, self.width = merged[order], np.concatenate([self.begin, new_begin])[order], np.concatenate([self.width, new_width])[order]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -352,14 +451,7 @@ def write_store(docs: DataFrame, tokenizer: str) -> TokenStore:
         number, attempt = context.partitionId(), f"a{context.taskAttemptId()}"
         coder, keys, payloads = encoder(tokenizer), [], []
         for batch in batches:
-            texts, at = batch["text"].to_pylist(), 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and held < 1 << 21:
-                    held += len(texts[end] or "")
-                    end += 1
-                payloads += coder.encode(texts[at:end])
-                at = end
+            payloads += coder.encode_utf8(*utf8(batch["text"]))
             keys.append(batch["key"].to_numpy(zero_copy_only=False))
         if not keys:
             return
