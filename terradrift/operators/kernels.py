@@ -64,8 +64,7 @@ def features(y: np.ndarray, days: np.ndarray, jump_mm: float = 5.0) -> np.ndarra
     sums = lambda e: np.where(m, e, 0).sum(1)
     c1, c2, c6 = (least_squares(x, v, m) for x in (line, curve, wave))
     r1 = v - c1 @ line.T
-    deseason = v - c6[:, 2:] @ wave[:, 2:].T  # trend stays
-    rest = r1 - c6[:, 2:] @ wave[:, 2:].T
+    rest = r1 - (c6 @ wave.T - c6[:, :2] @ line.T)
     mean = sums(v) / k
     total, ss1, ss2, ssd = sums((v - mean[:, None]) ** 2), sums(r1**2), sums((v - c2 @ curve.T) ** 2), sums(rest**2)
     put = lambda name, value: out.__setitem__((np.flatnonzero(ok), at[name]), value)
@@ -90,9 +89,9 @@ def features(y: np.ndarray, days: np.ndarray, jump_mm: float = 5.0) -> np.ndarra
     take = lambda e: np.take_along_axis(e, order, 1)
     there = np.arange(dates)[None, :] < k[:, None]
     pair = there[:, 1:]
-    day = take(np.broadcast_to(days.astype(float), v.shape))
+    day = take(np.broadcast_to(tau * 365.25, v.shape))
     gap = np.maximum(np.diff(day, axis=1), 1)
-    step = np.where(pair, np.abs(np.diff(take(deseason), axis=1)), np.nan)
+    step = np.where(pair, np.abs(np.diff(take(rest), axis=1)), np.nan)
     rate = step / gap
     limit = np.maximum(4 * np.nanpercentile(rate, 75, axis=1), jump_mm / 6)
     jump = pair & (rate > limit[:, None])

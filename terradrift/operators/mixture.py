@@ -103,7 +103,7 @@ def classify_residual(rows: DataFrame, features: list[str], wanted: int = 5) ->
 
         x = pdf[features].to_numpy(float)
         if len(x) < 5 * wanted:
-            return pd.DataFrame({"source_file": [], "weights": [], "means": [], "covs": []})
+            return pd.DataFrame({"source_file": [], "weights": [], "means": [], "covs": []}, dtype=object)
         w, m, c = fit(x, components(len(x), wanted, len(features)))
         return pd.DataFrame({"source_file": [pdf["source_file"].iloc[0]], "weights": [w.tolist()], "means": [m.ravel().tolist()], "covs": [c.ravel().tolist()]})
 

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from terradrift.ship import ship
 
-FILE = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+
+def file_name():
+    """The name of the file that a row comes from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file")
 
 
 def list_files(spark: SparkSession, folder: str, *suffixes: str, recursive: bool = False) -> list[str]:
@@ -41,7 +44,7 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         groups.setdefault(tuple(header(spark, p)), []).append(p)
     for names, files in groups.items():
         kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.schema(kind).option("header", True).option("enforceSchema", True).csv(files).select("*", FILE.alias("source_file"))
+        df = spark.read.schema(kind).option("header", True).option("enforceSchema", True).csv(files).select("*", file_name())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError("no files")
@@ -107,7 +110,7 @@ def read_parquet_by_name(spark: SparkSession, paths: str | list[str], pattern: s
         groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
     out = None
     for group in groups.values():
-        df = spark.read.parquet(*group).select("*", FILE.alias("source_file"))
+        df = spark.read.parquet(*group).select("*", file_name())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError("no files")
