@@ -94,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal
     row = np.repeat(np.arange(len(y)), [len(h) for h in hs])
     vocab, col = np.unique(np.concatenate(hs), return_inverse=True)
     n = np.concatenate(ns)
+    del got, hs, ns
     often = np.bincount(col) >= 3
     keep = often[col]
     vocab, row, n, col = vocab[often], row[keep], n[keep], (np.cumsum(often) - 1)[col[keep]]

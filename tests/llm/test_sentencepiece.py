@@ -32,6 +32,7 @@ def test_ids_equal_the_library_and_round_trip(make, library, pieces, corpus):
     text = {str(r["doc_id"]): r["text"] for r in S.decode(encoded, pieces).collect()}
     assert all(text[str(i)] == (t or "") for i, t in rows)
     digests = {str(r["doc_id"]): r for r in S.digest(encoded, pieces).collect()}
+    assert sorted(map(str, S.encode(make(rows), pieces, digests=True).collect())) == sorted(map(str, S.digest(encoded, pieces).collect()))
     assert all(digests[str(i)]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows)
 
 
