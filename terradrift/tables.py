@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,16 +11,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder, which is only right on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="terradrift-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the driver's Python ends; results may be read until then."""
+
+    def go() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            delete(spark, path)
+
+    atexit.register(go)
+
+
 class Stage:
     """Writes DataFrames as Parquet under spark.checkpoint.dir (a temporary folder where that is unset) and
     reads them back, which cuts lineage and survives the loss of executors."""
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="terradrift-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.root = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        delete_at_exit(spark, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
