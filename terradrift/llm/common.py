@@ -3,8 +3,6 @@ filters, connected components over edge tables, and a vectorised word kernel ove
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift.ship import ship
+from terradrift.tables import delete, delete_at_exit, shared_folder
 
 #: Most rows of an id list that may be broadcast; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 1_000_000
@@ -29,23 +28,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a
-    temporary folder, which is only right on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terradrift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove_local, root)
-    return root.rstrip("/")
-
-
-def _remove_local(root: str) -> None:
-    import shutil
-
-    shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
-
-
 class Scratch:
     """Tables of one operator call, written to the shared folder so that no lineage and no executor's
     disk is needed to read them again."""
@@ -53,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        delete_at_exit(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,10 +46,8 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, self.path(name))
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

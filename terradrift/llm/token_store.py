@@ -433,12 +433,13 @@ def _with_bucket(keys: DataFrame, buckets: int) -> DataFrame:
     return keys.mapInArrow(add, keys.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", bucket int")
 
 
-def write_store(docs: DataFrame, tokenizer: str) -> TokenStore:
-    """Writes docs (doc_id, text) as shards in ascending doc_id order, with their index, in the shared folder."""
+def write_store(docs: DataFrame, tokenizer: str, root: str | None = None) -> TokenStore:
+    """Writes docs (doc_id, text) as shards in ascending doc_id order, with their index, under root; without one in
+    a folder of the shared folder that goes with the driver."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "tokens")
-    root = scratch.root
+    root = (root or scratch.root).rstrip("/")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text")
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts, buckets = max(1, -(-size // SHARD_BYTES)), max(1, -(-count // BUCKET_KEYS))
