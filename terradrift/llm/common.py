@@ -50,6 +50,12 @@ class Scratch:
             delete(self.spark, self.path(name))
 
 
+def hashed_share(share: Column, *columns: str) -> Column:
+    """Whether the columns' hash is among the lowest share of all hashes. It leaves about share of the rows, the same
+    ones every time, so that a bounded sample is then taken from few rows instead of all."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """left_semi or left_anti of docs by a one-column table of ids, null-safe. The ids are counted
     first: a list within BROADCAST_ROWS is broadcast, a longer one joins by shuffle."""

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import blocks
+from terradrift.llm.common import blocks, hashed_share
 from terradrift.ship import ship
 
 #: Bounds of the sample per language.
@@ -103,8 +103,10 @@ def letters() -> np.ndarray:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """docs: text and lang of the rows to learn from."""
     row = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    least = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h")).distinct()
-    # the bound on hashes is found on 16 bytes a row, so no text is sorted
+    known = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"))
+    # the sample is found on 16 bytes a row: about four times fit_rows of a language by hash, then the least of them
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    least = known.join(F.broadcast(sizes), "lang").where(hashed_share(F.lit(4.0 * fit_rows) / F.col("n"), "h")).select("lang", "h").distinct()  # a row a language
     least = least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= fit_rows).select("lang", "h")
     picked = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(least), ["lang", "h"]).dropDuplicates(["lang", "h"])  # fit_rows a language
     picked = picked.withColumn("r", row).select("lang", "r", F.substring("text", 1, chars).alias("text")).toPandas().sort_values(["lang", "r"])

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import ALNUM, Words, blocks, utf8
+from terradrift.llm.common import ALNUM, Words, blocks, hashed_share, utf8
 from terradrift.ship import ship
 
 #: Labelled rows that the fit takes at most.
@@ -79,7 +79,8 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     """(label, text) of at most fit_rows labelled documents; label is the severity, or 0 and 1 for toxic."""
     label = "severity" if "severity" in labels.columns else "toxic"
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    share = F.lit(4.0 * fit_rows / max(1, labels.count()))  # few rows are left to sort
+    rows = rows.where(hashed_share(share, "doc_id")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(fit_rows)
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("label", "text")  # fit_rows bounds it
 
 
