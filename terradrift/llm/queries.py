@@ -61,10 +61,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from terradrift.llm.sentencepiece_lattice import PieceTable, digest, encode
+    from terradrift.llm.sentencepiece_lattice import PieceTable, encode
 
     pieces = PieceTable.load(public_tokenizers.path("piece_bpe_32k.model"), "bpe")
-    return digest(encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return encode(table(spark, sf_dir, "documents"), pieces, digests=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import Scratch, blocks
+from terradrift.llm.common import Scratch, blocks, hash_values, mix, utf8
 from terradrift.llm.token_store import open_file, write_file
 from terradrift.ship import ship
 
 SPACE = "▁"
 #: Between the pieces of a unit; a character of no piece is a unit by itself, so it's in none.
 CUT = "\x1f"
-UNITS_HELD = 400_000
+#: Bytes of text that a task works on at a time.
+CHUNK = 1 << 19
 
 
 @dataclass
@@ -82,35 +83,71 @@ class PieceTable:
 
 
 class Cutter:
-    """Cuts texts into units."""
+    """Cuts texts into units, which it knows by 64-bit hashes of their characters."""
 
     def __init__(self, table: PieceTable):
         pairs = {p[i : i + 2] for p in table.pieces for i in range(len(p) - 1)}
-        chars = sorted({c for p in pairs for c in p if ord(c) < 0x10000})
+        chars = sorted({c for p in pairs for c in p})
+        if chars and ord(chars[-1]) >= 0x10000:
+            raise ValueError("pieces of several characters beyond the basic plane aren't supported")
         self.index = np.zeros(0x10000, np.int32)
         self.index[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         for a, b in pairs:
-            if ord(a) < 0x10000 and ord(b) < 0x10000:
-                self.joined[self.index[ord(a)], self.index[ord(b)]] = True
-        self.wide = any(ord(c) >= 0x10000 for p in pairs for c in p)
-        if self.wide:
-            raise ValueError("pieces of several characters beyond the basic plane aren't supported")
-
-    def units(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Units of all texts, and the first unit of each text (one entry more)."""
+            self.joined[self.index[ord(a)], self.index[ord(b)]] = True
+        self.value = mix(np.arange(0x10000, dtype=np.uint64) + np.uint64(1))
+
+    def hashes(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        plain = self.value[np.minimum(code, 0xFFFF)]
+        wide = code > 0xFFFF
+        if wide.any():
+            plain[wide] = mix(code[wide].astype(np.uint64) + np.uint64(1))
+        return hash_values(plain, start, end)
+
+    def cut(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts marked and joined, the places of their units (one more than there are units), their hashes,
+        and the first unit of each text (one more than there are texts)."""
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
         code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.concatenate([[0], np.cumsum([len(m) for m in marked], dtype=np.int64)])
+        if not len(code):
+            return whole, np.zeros(1, np.int64), np.empty(0, np.uint64), np.zeros(len(begin), np.int64)
         at = np.where(code < 0x10000, self.index[np.minimum(code, 0xFFFF)], 0)
         edge = np.ones(len(code) + 1, bool)
-        if len(code):
-            edge[1:-1] = ~self.joined[at[:-1], at[1:]]
-        begin = np.concatenate([[0], np.cumsum([len(m) for m in marked])])
+        edge[1:-1] = ~self.joined[at[:-1], at[1:]]
         edge[begin] = True
-        cuts = np.flatnonzero(edge) if len(code) else np.zeros(1, np.int64)
-        places = cuts.tolist()
-        return [whole[a:b] for a, b in zip(places, places[1:])], np.searchsorted(cuts, begin)
+        places = np.flatnonzero(edge)
+        return whole, places, self.hashes(code, places[:-1], places[1:]), np.searchsorted(places, begin)
+
+
+class Known:
+    """Ids of units by hash: sorted hashes, and where in the pool a unit's ids begin and how many there are."""
+
+    def __init__(self, hashes: np.ndarray, ids: list[list[int]], kind: np.dtype):
+        order = np.argsort(hashes, kind="stable")
+        width = np.array([len(x) for x in ids], np.int64)
+        self.pool = np.fromiter((i for x in ids for i in x), kind, int(width.sum()))
+        self.hashes, self.width, self.begin = hashes[order], width[order], (np.cumsum(width) - width)[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def join(self, other: Known) -> None:
+        h = np.concatenate([self.hashes, other.hashes])
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.width = h[order], np.concatenate([self.width, other.width])[order]
+        self.begin = np.concatenate([self.begin, other.begin + len(self.pool)])[order]
+        self.pool = np.concatenate([self.pool, other.pool])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units at `at` in order, and the number of each unit's ids."""
+        width = self.width[at]
+        shift = self.begin[at] - (np.cumsum(width) - width)
+        return self.pool[np.repeat(shift, width) + np.arange(int(width.sum()))], width
 
 
 # --- the lattice ----------------------------------------------------------------------------------
@@ -184,13 +221,16 @@ def segment(units: DataFrame, table: PieceTable) -> DataFrame:
 # --- documents ------------------------------------------------------------------------------------
 
 
-def _chunks(texts: list):
-    size = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-    return blocks(size, 1 << 20)
+def _chunks(batch):
+    """Texts of a batch in turn, about CHUNK bytes at a time, with their range of rows."""
+    _, offsets = utf8(batch["text"])
+    for i, j in blocks(offsets, CHUNK):
+        yield i, j, batch["text"].slice(i, j - i).to_pylist()
 
 
-def encode(docs: DataFrame, table: PieceTable) -> DataFrame:
-    """doc_id and ids array<int> of every row."""
+def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFrame:
+    """doc_id and ids array<int> of every row; with digests, what digest() gives of them, made by the same
+    workers."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "pieces")
@@ -201,113 +241,153 @@ def encode(docs: DataFrame, table: PieceTable) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, cutter, held = TaskContext.get().partitionId(), Cutter(shared.value), set()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), part, np.int32)), pa.array(held, pa.string())], ["part", "unit"])
-
+        part, cutter, seen = TaskContext.get().partitionId(), Cutter(shared.value), np.empty(0, np.uint64)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for i, j in _chunks(texts):
-                held.update(cutter.units(texts[i:j])[0])
-            if len(held) > UNITS_HELD:
-                held = {u for u in held if len(u) > 1}
-                yield out()
-                held = set()
-        held = {u for u in held if len(u) > 1}
-        if held:
-            yield out()
+            for _, _, texts in _chunks(batch):
+                whole, places, hashes, _ = cutter.cut(texts)
+                order = np.argsort(hashes)
+                ranked = hashes[order]
+                edge = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+                unit, first = ranked[edge], order[edge]
+                at = np.searchsorted(seen, unit)
+                here = seen[np.minimum(at, len(seen) - 1)] == unit if len(seen) else np.zeros(len(unit), bool)
+                new = ~here & (places[first + 1] - places[first] > 1)
+                seen = np.insert(seen, at[new], unit[new])
+                spans = zip(places[first[new]].tolist(), places[first[new] + 1].tolist(), strict=True)
+                names = pa.array([whole[a:b] for a, b in spans], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part, np.int32)), names], ["part", "unit"])
 
     texts = docs.select("text")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    uses = texts.mapInArrow(list_units, "part int, unit string").repartition(tasks, "unit")
-    pieces = segment(uses.groupBy("unit").agg(F.lit(1).alias("one")).select("unit"), table)
-    rows = uses.join(pieces, "unit", "left").select("part", F.coalesce("cut", F.regexp_replace("unit", "(?<=.)(?=.)", CUT)).alias("cut"))
+    # written, so that the texts are cut once; units are dealt once for the lattice, which keeps that partitioning
+    # up to its groups, and once for the join
+    uses = scratch.save(texts.mapInArrow(list_units, "part int, unit string"), "uses").repartition(tasks, "unit")
+    distinct = uses.select("unit").distinct()
+    rows = uses.join(segment(distinct, table), "unit", "left").select("part", F.coalesce("cut", F.regexp_replace("unit", "(?<=.)(?=.)", CUT)).alias("cut"))
 
-    def write(key, pdfs):
+    def write(key, pdf):
         import pandas as pd
         import pyarrow as pa
         from pyspark import TaskContext
 
-        cuts = pd.concat(pdfs)["cut"] if not isinstance(pdfs, pd.DataFrame) else pdfs["cut"]
         sink = pa.BufferOutputStream()
-        batch = pa.RecordBatch.from_arrays([pa.array(cuts, pa.string())], ["cut"])
+        batch = pa.RecordBatch.from_arrays([pa.array(pdf["cut"], pa.string())], ["cut"])
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_batch(batch)
         write_file(f"{root}/words/{int(key[0]):06d}", f"a{TaskContext.get().taskAttemptId()}", [memoryview(sink.getvalue())])
-        return pd.DataFrame({"part": [int(key[0])], "n": [len(cuts)]})
+        return pd.DataFrame({"part": [int(key[0])], "n": [len(pdf)]})
 
-    scratch.save(rows.groupBy("part").applyInPandas(lambda key, pdf: write(key, pdf), "part int, n long"), "written")
+    scratch.save(rows.groupBy("part").applyInPandas(write, "part int, n long"), "written")
 
-    def encode_rows(batches):
+    def read_words(path: str, cutter: Cutter, t: PieceTable, kind: np.dtype) -> Known:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        t = shared.value
-        cutter, kind = Cutter(t), np.dtype("<u2" if len(t.bytes_of) <= 1 << 16 else "<u4")
-        known: dict[str, bytes] = {}
-        path = f"{root}/words/{TaskContext.get().partitionId():06d}"
+        known = Known(np.empty(0, np.uint64), [], kind)
         try:
             with open_file(path) as f, pa.ipc.open_stream(f) as stream:
                 for batch in stream:
-                    for cut in batch["cut"].to_pylist():
-                        parts = cut.split(CUT)
-                        known["".join(parts)] = np.array(t.ids(parts), kind).tobytes()
+                    for lo in range(0, len(batch), 50_000):
+                        cuts = batch["cut"][lo : lo + 50_000].to_pylist()
+                        names = [c.replace(CUT, "") for c in cuts]
+                        ends = np.cumsum([len(n) for n in names])
+                        code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+                        known.join(Known(cutter.hashes(code, np.append(0, ends[:-1]), ends), [t.ids(c.split(CUT)) for c in cuts], kind))
         except FileNotFoundError:  # this task's texts have no unit of two characters
             pass
-        for batch in batches:
-            texts, out, n = batch["text"].to_pylist(), [], np.zeros(len(batch), np.int64)
-            for i, j in _chunks(texts):
-                units, first = cutter.units(texts[i:j])
-                for u in {u for u in units if len(u) == 1 and u not in known}:
-                    known[u] = np.array(t.ids([u]), kind).tobytes()
-                for d in range(j - i):
-                    data = b"".join([known[u] for u in units[first[d] : first[d + 1]]])
-                    n[i + d] = len(data) // kind.itemsize
-                    out.append(data)
-            ids = np.frombuffer(b"".join(out), kind).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "ids"])
+        return known
 
-    return docs.select("doc_id", "text").mapInArrow(encode_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    def encode_rows(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
+        t = shared.value
+        cutter, kind = Cutter(t), np.dtype("<u2" if len(t.bytes_of) <= 1 << 16 else "<u4")
+        known = read_words(f"{root}/words/{TaskContext.get().partitionId():06d}", cutter, t, kind)
+        for batch in batches:
+            for i, j, texts in _chunks(batch):
+                whole, places, hashes, first = cutter.cut(texts)
+                at, ok = known.find(hashes)
+                if not ok.all():  # units of one character aren't in the files
+                    miss, where = np.unique(hashes[~ok], return_index=True)
+                    where = np.flatnonzero(~ok)[where]
+                    if (places[where + 1] - places[where] > 1).any():
+                        raise RuntimeError("the scan dealt its rows to other tasks than before")
+                    known.join(Known(miss, [t.ids([whole[p]]) for p in places[where].tolist()], kind))
+                    at, _ = known.find(hashes)
+                ids, width = known.gather(at)
+                cuts = np.concatenate([[0], np.cumsum(width)])[first]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), lists], ["doc_id", "ids"])
+
+    kind, rows = docs.schema["doc_id"].dataType.simpleString(), docs.select("doc_id", "text")
+    if digests:
+        return rows.mapInArrow(lambda batches: _digests(encode_rows(batches), shared.value), f"doc_id {kind}, {_DIGESTS}")
+    return rows.mapInArrow(encode_rows, f"doc_id {kind}, ids array<int>")
+
+
+class Decoder:
+    """Texts of ids, whole batches at a time."""
 
-def decode_ids(table: PieceTable, ids) -> str:
-    """Text of ids; bytes that are no UTF-8 become the replacement character, as in the library."""
-    data = b"".join([table.bytes_of[i] for i in ids])
-    return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+    def __init__(self, table: PieceTable):
+        self.width = np.array([len(b) for b in table.bytes_of], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.pool = np.frombuffer(b"".join(table.bytes_of), np.uint8)
+
+    def texts(self, column):
+        """UTF-8 bytes of each list of ids, and its ids as little-endian unsigned 32-bit integers. Bytes that are no UTF-8
+        become the replacement character, as in the library."""
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        values = column.values.to_numpy(zero_copy_only=False)
+        for i, j in blocks(offsets, 1 << 18):
+            ids = values[offsets[i] : offsets[j]]
+            width = self.width[ids]
+            shift = self.begin[ids] - (np.cumsum(width) - width)
+            data = self.pool[np.repeat(shift, width) + np.arange(int(width.sum()))].tobytes()
+            packed = ids.astype("<u4").tobytes()
+            at = np.concatenate([[0], np.cumsum(width)])[offsets[i : j + 1] - offsets[i]].tolist()
+            place = (4 * (offsets[i : j + 1] - offsets[i])).tolist()
+            for k in range(j - i):
+                text = data[at[k] : at[k + 1]]
+                text = text[1:] if text[:1] == b" " else text
+                try:
+                    text.decode()
+                except UnicodeDecodeError:
+                    text = text.decode("utf-8", "replace").encode()
+                yield text, packed[place[k] : place[k + 1]]
 
 
 def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
-    """doc_id and text of rows with ids."""
+    """doc_id and text of rows with ids; null ids are the empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         import pyarrow as pa
 
+        decoder = Decoder(shared.value)
         for batch in batches:
-            texts = [decode_ids(shared.value, ids) for ids in batch["ids"].to_pylist()]
+            texts = [t.decode() for t, _ in decoder.texts(batch["ids"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def digest(encoded: DataFrame, table: PieceTable) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_sha256 of rows with ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+_DIGESTS = "n_pieces long, ids_crc32 long, decoded_sha256 string"
 
-    def run(batches):
-        import hashlib
-        import zlib
 
-        import pyarrow as pa
+def _digests(batches, table: PieceTable):
+    import hashlib
+    import zlib
 
-        for batch in batches:
-            rows = []
-            for ids in batch["ids"].to_pylist():
-                text = decode_ids(shared.value, ids).encode("utf-8", "replace")
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(text).hexdigest()))
-            n, crc, sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    import pyarrow as pa
+
+    decoder = Decoder(table)
+    for batch in batches:
+        rows = [(len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text).hexdigest()) for text, ids in decoder.texts(batch["ids"])]
+        n, crc, sha = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+
+
+def digest(encoded: DataFrame, table: PieceTable) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_sha256 of rows with ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _digests(batches, shared.value), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, {_DIGESTS}")
