@@ -31,7 +31,7 @@ from terradrift.ship import ship
 FIT_ROWS = 10_000
 #: Occurrences of marking words from which a toxic row is of grade 2 and 3.
 GRADE_HITS = (3, 6)
-L1, RIDGE, STEPS = 0.03, 1e-4, 400
+L1, RIDGE, STEPS = 0.022, 1e-4, 400
 
 
 @dataclass
@@ -133,11 +133,11 @@ def _solve(y: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, vocab
         return OrdinalModel(np.empty(0, np.uint64), np.empty(0), theta)
     inside = (w != 0)[col]  # the penalty has chosen the words; their weights are fitted again without its shrinkage
     again = (np.cumsum(w != 0) - 1)[col[inside]]
-    w, theta = _descend(y, row[inside], again, x[inside] * scale[col[inside]], len(kept), k, 0.0, RIDGE)
+    w, theta = _descend(y, row[inside], again, x[inside] * scale[col[inside]], len(kept), k, 0.0, RIDGE, 8 * STEPS)
     return OrdinalModel(vocab[kept], w * scale[kept], theta)
 
 
-def _descend(y, row, col, x, width: int, k: int, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+def _descend(y, row, col, x, width: int, k: int, l1: float, l2: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient on the sum, over thresholds, of the binary
     log-likelihoods of y > threshold. The sum is convex with bounded curvature, so a fixed step is safe; when
     the objective rises the momentum starts anew."""
@@ -153,7 +153,7 @@ def _descend(y, row, col, x, width: int, k: int, l1: float, l2: float) -> tuple[
     w = z = np.zeros(width)
     theta = zt = np.log(share / (1 - share))
     t, before = 1.0, np.inf
-    for _ in range(STEPS):
+    for _ in range(steps):
         f = times(z)[:, None] - zt[None, :]
         p = 1 / (1 + np.exp(np.clip(-f, -50, 50)))
         r = p - above
