@@ -6,10 +6,12 @@ weighting P_w = (P_e + prod P_w(child)) / 2, so a byte's probability averages ov
 minus its base-2 logarithm is the code length. The tree is learned from the training documents and then
 frozen: every text is scored by the same predictive distribution.
 
-Counts cover all training bytes: (DEPTH + 1)-grams are counted map-side, shuffled and summed. A context
-with fewer than 1/2**18 of the training bytes (or one of the rarest beyond MOST_CONTEXTS) is no node of
-its own: the rest of its parent forms one lumped child, so nothing is dropped and the tables have a proven
-bound of MOST_CONTEXTS * 256 * 8 bytes. They form a finite automaton that all texts run through together.
+Counts cover all training bytes: (DEPTH + 1)-grams are counted map-side, shuffled and summed. Every context
+seen LEAST times is a node; the once-seen ones of a node share one lumped child. The tree grows with the
+text and is never in one place: grams are dealt by the last two bytes of their context, and each such
+subtree is summed up on its own. The contexts of one byte and none, 257 at most, join the subtrees on the
+driver; their estimates go back to the subtrees, which then give each gram of any text, held-out ones too, its
+probability. These are sorted files of the shared folder, in which the texts' grams are looked up.
 
 The base score is a unigram model over words. Words with 1/2**17 of the training tokens, 2**17 at most, are
 looked up on the map side; the others meet their counts by an ordinary join on 64-bit word hashes.
@@ -29,8 +31,11 @@ from terradrift.llm.common import LOWER_BYTES, Scratch, Words, blocks, utf8
 from terradrift.llm.token_store import _local, open_file, write_file
 
 DEPTH = 5
-MOST_CONTEXTS = 50_000
-HEAD_SHARE, CONTEXT_SHARE = 1 << 17, 1 << 18
+#: Occurrences that make a context a node of its own.
+LEAST = 2
+HEAD_SHARE = 1 << 17
+#: Grams that a task works on at a time (whole subtrees, so more where one is larger), and those of a file.
+CHUNK, FILE_GRAMS = 300_000, 200_000
 #: Stands before and after each text; no byte of UTF-8.
 EDGE = 255
 #: The end token among word hashes.
@@ -54,6 +59,14 @@ def _buffer(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.n
     return out, target, first
 
 
+def _grams(text: np.ndarray) -> np.ndarray:
+    """The context before each place from DEPTH on, nearest byte first, and the byte there, packed."""
+    key = np.zeros(len(text) - DEPTH, np.int64)
+    for p in (*range(DEPTH - 1, -1, -1), DEPTH):
+        key = (key << 8) | text[p : len(text) - DEPTH + p]
+    return key
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -63,16 +76,16 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counted(batches):
-    """(kind, key, n) of a partition: kind 0 byte grams, 1 word hashes."""
+    """(kind, key, n) of a partition: kind 0 byte grams, 1 word hashes. Held-out texts add their grams with n 0."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
 
-    def add(kind: int, keys: np.ndarray) -> None:
+    def add(kind: int, keys: np.ndarray, times: int = 1) -> None:
         v = pc.value_counts(pa.array(keys))
         held[kind][0].append(v.field(0).to_numpy(zero_copy_only=False))
-        held[kind][1].append(v.field(1).to_numpy(zero_copy_only=False))
+        held[kind][1].append(v.field(1).to_numpy(zero_copy_only=False) * times)
 
     def rows(kind: int):
         k, n = _merged(*held[kind])
@@ -80,20 +93,19 @@ def _counted(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
     for batch in batches:
-        data, offsets = utf8(batch["text"])
-        for i, j in blocks(offsets):
-            text, target, _ = _buffer(data, offsets, i, j)
-            key = np.zeros(len(text) - DEPTH, np.int64)
-            for p in range(DEPTH + 1):
-                key = (key << 8) | text[p : len(text) - DEPTH + p]
-            add(0, key[target[DEPTH:]])
-            add(1, np.append(Words(data, offsets, i, j).hash.view(np.int64), np.full(j - i, END)))
-            for kind in (0, 1):
-                if sum(map(len, held[kind][0])) > 2_000_000:
-                    k, n = _merged(*held[kind])
-                    held[kind] = ([k], [n])
-                    if len(k) > 1_000_000:
-                        yield rows(kind)
+        for out in (False, True):
+            data, offsets = utf8(batch["text"].filter(pc.equal(batch["held_out"], out)))
+            for i, j in blocks(offsets):
+                text, target, _ = _buffer(data, offsets, i, j)
+                add(0, _grams(text)[target[DEPTH:]], int(not out))
+                if not out:
+                    add(1, np.append(Words(data, offsets, i, j).hash.view(np.int64), np.full(j - i, END)))
+                for kind in (0, 1):
+                    if sum(map(len, held[kind][0])) > 2_000_000:
+                        k, n = _merged(*held[kind])
+                        held[kind] = ([k], [n])
+                        if len(k) > 1_000_000:
+                            yield rows(kind)
     for kind in (0, 1):
         if held[kind][0]:
             yield rows(kind)
@@ -107,163 +119,225 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 decision nodes of each row of 256 byte counts, level by level."""
-    zero, one = [], []
-    for level in range(8):
-        half = counts.reshape(len(counts), 1 << level, 2, -1).sum(3)
-        zero.append(half[:, :, 0])
-        one.append(half[:, :, 1])
-    return np.concatenate(zero, 1), np.concatenate(one, 1)
-
-
 def _log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - 1.1447298858494002  # log pi
 
 
-#: Contexts that are worked on at a time.
-CHUNK = 4096
-
-
-def build_tree(depth: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each byte in each context, and the context after it. Rows (depth, context and
-    byte packed, count); the empty context is row 0 of the tables."""
-    context, byte = key >> 8, (key & 255).astype(np.int64)
-    names = [np.unique(context[depth == d]) for d in range(DEPTH + 1)]
-    names[0] = np.zeros(1, np.int64)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-    total = int(base[-1])
-    counts = np.zeros((total, 256), np.float32)
-    for d in range(DEPTH + 1):
-        here = depth == d
-        counts[base[d] + np.searchsorted(names[d], context[here]), byte[here]] = n[here]
-    parent = np.zeros(total, np.int64)
-    for d in range(1, DEPTH + 1):
-        parent[base[d] : base[d + 1]] = base[d - 1] + np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1))
-    weight, lump = np.ones((total, 255), np.float32), np.zeros((total, 255), np.float32)
-    below = used = None
-    for d in range(DEPTH, -1, -1):
-        first, last = base[d], base[d + 1]
-        up_below = np.zeros((len(names[d - 1]), 255)) if d else None
-        up_used = np.zeros((len(names[d - 1]), 256)) if d else None
-        for i in range(first, last, CHUNK):
-            rows = slice(i, min(i + CHUNK, last))
-            own = counts[rows].astype(np.float64)
-            log_w = _log_kt(*_nodes(own))
-            if d < DEPTH:
-                at = slice(rows.start - first, rows.stop - first)
-                zero, one = _nodes(np.maximum(own - used[at], 0))
-                split = below[at] + _log_kt(zero, one)
-                both = np.logaddexp(log_w, split)
-                weight[rows] = np.exp(log_w - both)
-                lump[rows] = (one + 0.5) / (zero + one + 1)
-                log_w = both - np.log(2)
-            if d:
-                up = parent[rows] - base[d - 1]
-                np.add.at(up_below, up, log_w)
-                np.add.at(up_used, up, own)
-        below, used = up_below, up_used
-    score, after = np.empty((total, 256), np.float32), np.zeros((total, 256), np.int32)
-    done, left = np.zeros((total, 255), np.float32), np.ones((total, 255), np.float32)
-    for d in range(DEPTH + 1):
-        for i in range(base[d], base[d + 1], CHUNK):
-            rows = slice(i, min(i + CHUNK, base[d + 1]))
-            zero, one = _nodes(counts[rows])
-            kt = (one + 0.5) / (zero + one + 1)
-            if d:
-                done[rows], left[rows] = done[parent[rows]], left[parent[rows]]
-            done[rows] += left[rows] * weight[rows] * kt
-            left[rows] *= 1 - weight[rows]
-            q = np.clip(done[rows] + left[rows] * lump[rows], 1e-7, 1 - 1e-7)
-            log_p = np.zeros((len(q), 1), np.float32)
-            for level in range(8):
-                here = q[:, (1 << level) - 1 : (2 << level) - 1]
-                log_p = np.stack([log_p + np.log10(1 - here), log_p + np.log10(here)], 2).reshape(len(q), -1)
-            score[rows] = log_p
-            if d:
-                after[rows] = after[parent[rows]]
-        if d < DEPTH:
-            longer = names[d + 1]
-            at = np.searchsorted(names[d], longer >> 8)
-            ok = (at < len(names[d])) & (names[d][np.minimum(at, len(names[d]) - 1)] == longer >> 8)
-            after[base[d] + at[ok], (longer & 255)[ok]] = base[d + 1] + np.flatnonzero(ok)
-    return score, after
-
-
-def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The tables; mapped where the file is local, so that workers on a machine share them. Without any training
-    row there is no file, and the empty tree is built here."""
-    try:
-        if (local := _local(path)) is not None:
-            data = np.memmap(local, np.uint8, "r")
-        else:
-            with open_file(path) as f:
-                data = np.frombuffer(f.read(), np.uint8)
-    except FileNotFoundError:
-        score, after = build_tree(*[np.empty(0, np.int64)] * 3)
-        return score.ravel(), after.ravel()
-    half = len(data) // 2
-    return data[:half].view(np.float32), data[half:].view(np.int32)
-
-
-def score_texts(score: np.ndarray, after: np.ndarray, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
-    """log10 probability of texts i to j, ends included. Pieces of a text run side by side, each after the
-    DEPTH bytes before it, which determine its context."""
-    text, target, first = _buffer(data, offsets, i, j)
-    width, n = 256, len(text)
-    rows = -(-n // width)
-    padded = np.full(rows * width + DEPTH, EDGE, np.uint8)
-    padded[DEPTH : DEPTH + n] = text
-    view = np.lib.stride_tricks.as_strided(padded, (rows, width + DEPTH), (width, 1))
-    columns = np.ascontiguousarray(view.T).astype(np.int32)
-    state = np.zeros(rows, np.int32)
-    out = np.empty((width, rows), np.float32)
-    for k in range(width + DEPTH):
-        cell = state * 256 + columns[k]
-        if k >= DEPTH:
-            out[k - DEPTH] = score[cell]
-        state = after[cell]
-    value = out.T.ravel()[:n].astype(np.float64)
-    value[~target] = 0
-    return np.add.reduceat(value, first)
-
-
-def learn(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
-    """Counts table (kind, key, n) of the training documents, and the file of the tree's tables. The tree is
-    built by one task from the kept contexts, which MOST_CONTEXTS bounds; the driver never holds it."""
-    rows = docs.select("text").mapInArrow(_counted, "kind int, key long, n long")
+def _mixed(zero, one, below, used_zero, used_one):
+    """Share of the own estimate, the lumped child's probability of a one, and log P_w, of inner nodes."""
+    lump_zero, lump_one = np.maximum(zero - used_zero, 0), np.maximum(one - used_one, 0)
+    own, split = _log_kt(zero, one), below + _log_kt(lump_zero, lump_one)
+    both = np.logaddexp(own, split)
+    return np.exp(own - both), (lump_one + 0.5) / (lump_zero + lump_one + 1), both - np.log(2)
+
+
+def _kt(zero, one):
+    return (one + 0.5) / (zero + one + 1)
+
+
+class Subtrees:
+    """The contexts of two and more bytes over the sorted grams of whole two-byte endings."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        #: By depth: (context, byte) packed, its count, whether the context is a node, and its place one depth up.
+        self.pairs, self.n, self.kept, self.up = {DEPTH: key}, {DEPTH: n.astype(np.float64)}, {}, {}
+        for d in range(DEPTH, 1, -1):
+            k = self.pairs[d]
+            self.pairs[d - 1], self.up[d] = np.unique((k >> 16 << 8) | (k & 255), return_inverse=True)
+            self.n[d - 1] = np.bincount(self.up[d], self.n[d], len(self.pairs[d - 1]))
+            context, _ = self._runs(k >> 8)
+            self.kept[d] = (np.bincount(context, self.n[d]) >= LEAST)[context]
+
+    @staticmethod
+    def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.append(True, k[1:] != k[:-1])
+        return np.cumsum(new) - 1, np.flatnonzero(new)
+
+    def climb(self, level: int) -> dict[int, dict]:
+        """By depth, the cells (context, decision node of the level) with their counts and, of inner nodes, _mixed;
+        at depth 1 the sums over the nodes of depth 2."""
+        cells = {}
+        for d in range(1, DEPTH + 1):
+            k = self.pairs[d] >> (8 - level)
+            cell, first = self._runs(k)
+            one = np.bincount(cell, self.n[d] * (self.pairs[d] >> (7 - level) & 1))
+            cells[d] = {"key": k[first], "cell": cell, "zero": np.bincount(cell, self.n[d]) - one, "one": one}
+            if d > 1:
+                cells[d]["kept"], cells[d]["up"] = self.kept[d][first], cells[d - 1]["cell"][self.up[d][first]]
+        sums = None
+        for d in range(DEPTH, 1, -1):
+            c = cells[d]
+            if sums is None:
+                log_w = _log_kt(c["zero"], c["one"])
+            else:
+                c["weight"], c["lump"], log_w = _mixed(c["zero"], c["one"], *sums)
+            k = c["kept"]
+            sums = [np.bincount(c["up"][k], x[k], len(cells[d - 1]["key"])).astype(np.float64) for x in (log_w, c["zero"], c["one"])]  # of nothing, it counts in integers
+        cells[1]["sums"] = sums
+        return cells
+
+    def score(self, top: tuple) -> np.ndarray:
+        """log10 probability of each gram's byte after its context; top: _down()."""
+        out = np.zeros(len(self.pairs[DEPTH]))
+        for level in range(8):
+            cells = self.climb(level)
+            k = cells[1]["key"]
+            at = (k >> level, (1 << level) - 1 + (k & ((1 << level) - 1)))
+            done, left, q = (t[at] for t in top)
+            for d in range(2, DEPTH + 1):
+                c = cells[d]
+                done, left, q = done[c["up"]], left[c["up"]], q[c["up"]]
+                weight, lump = (c["weight"], c["lump"]) if d < DEPTH else (1.0, 0.0)
+                done = done + left * weight * _kt(c["zero"], c["one"])
+                left = left * (1 - weight)
+                q = np.where(c["kept"], done + left * lump, q)
+            q = np.clip(q, 1e-7, 1 - 1e-7)[cells[DEPTH]["cell"]]
+            out += np.log10(np.where(self.pairs[DEPTH] >> (7 - level) & 1, q, 1 - q))
+        return out
+
+
+def _down(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the sums (last, node, zero, one, below, used_zero, used_one) of the one-byte contexts: the mixture so far, what is left
+    of it, and the probability of a one where the context goes no deeper, each (256, 255)."""
+    at = (rows["last"].to_numpy(np.int64), rows["node"].to_numpy(np.int64))
+    table = np.zeros((5, 256, 255))
+    for t, name in zip(table, ("zero", "one", "below", "used_zero", "used_one"), strict=True):
+        t[at] = rows[name].to_numpy(np.float64)
+    zero, one = table[:2]
+    weight, lump, log_w = _mixed(*table)
+    kept = (zero[:, :1] + one[:, :1]) >= LEAST
+    below, used_zero, used_one = ((x * kept).sum(0) for x in (log_w, zero, one))
+    root_weight, root_lump, _ = _mixed(zero.sum(0), one.sum(0), below, used_zero, used_one)
+    done = root_weight * _kt(zero.sum(0), one.sum(0)) + np.zeros_like(zero)
+    left = 1 - root_weight + np.zeros_like(zero)
+    short = done + left * root_lump
+    done, left = done + left * weight * _kt(zero, one), left * (1 - weight)
+    return done, left, np.where(kept, done + left * lump, short)
+
+
+def _subtrees(batches):
+    """Grams of a sorted partition, in runs of whole endings."""
+    key, n, size = [], [], 0
+
+    def take():
+        out = np.concatenate(key), np.concatenate(n)
+        key.clear()
+        n.clear()
+        return out
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        k, m = batch["key"].to_numpy(zero_copy_only=False), batch["n"].to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(k, k[-1] >> 32 << 32))
+        key.append(k[:cut])
+        n.append(m[:cut])
+        size += cut
+        if cut and size >= CHUNK:
+            yield take()
+            size = 0
+        key.append(k[cut:])
+        n.append(m[cut:])
+        size += len(k) - cut
+    if size:
+        yield take()
+
+
+def _summed(batches):
+    import pyarrow as pa
+
+    for key, n in _subtrees(batches):
+        tree = Subtrees(key, n)
+        for level in range(8):
+            c = tree.climb(level)[1]
+            columns = [c["key"] >> level, (1 << level) - 1 + (c["key"] & ((1 << level) - 1)), c["zero"], c["one"], *c["sums"]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["last", "node", "zero", "one", "below", "used_zero", "used_one"])
+
+
+class Scores:
+    """The files of scored grams; mapped where local, so that workers on a machine share them."""
+
+    def __init__(self, files: list[tuple[int, int, str]]):
+        self.files = sorted(files)
+        self.first = np.array([f[0] for f in self.files], np.int64)
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _tables(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        if f not in self.open:
+            _, n, path = self.files[f]
+            if (local := _local(path)) is not None:
+                data = np.memmap(local, np.uint8, "r")
+            else:
+                with open_file(path) as file:
+                    data = np.frombuffer(file.read(), np.uint8)
+                while len(self.open) >= 16:
+                    self.open.pop(next(iter(self.open)))
+            self.open[f] = data[: 8 * n].view(np.int64), data[8 * n :].view(np.float32)
+        return self.open[f]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Scores of sorted keys, all of which are in the files."""
+        out = np.empty(len(keys))
+        cut = [0, *np.searchsorted(keys, self.first[1:]).tolist(), len(keys)]
+        for f, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if i < j:
+                known, score = self._tables(f)
+                at = np.searchsorted(known, keys[i:j])
+                if at[-1] == len(known) or (known[at] != keys[i:j]).any():
+                    raise KeyError("a gram was not counted")
+                out[i:j] = score[at]
+        return out
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
+        """log10 probability of texts i to j, ends included."""
+        import pyarrow as pa
+
+        text, target, first = _buffer(data, offsets, i, j)
+        coded = pa.array(_grams(text)[target[DEPTH:]]).dictionary_encode()
+        keys = coded.dictionary.to_numpy()
+        order = np.argsort(keys)
+        score = np.empty(len(keys))
+        score[order] = self.of(keys[order])
+        value = np.zeros(len(text))
+        value[target] = score[coded.indices.to_numpy()]
+        return np.add.reduceat(value, first)
+
+
+def learn(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, list[tuple[int, int, str]]]:
+    """Counts table (kind, key, n) of the documents (text, held_out), and the files (first gram, number, path) of the scores
+    of all their grams."""
+    rows = docs.select("text", "held_out").mapInArrow(_counted, "kind int, key long, n long")
     counts = scratch.save(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    grams = counts.where("kind = 0")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    every = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")) for d in range(DEPTH + 1)]))
-    nodes = grams.select(every.alias("e"), "n").groupBy("e.depth", "e.key").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("key", 8))
-    size = nodes.groupBy("depth", "context").agg(F.sum("n").alias("size"))
-    least = max(2, total // CONTEXT_SHARE)
-    size = scratch.save(size.where((F.col("size") >= least) | (F.col("depth") == 0)), "contexts")
-    while size.where(F.col("size") >= least).count() > MOST_CONTEXTS:
-        least *= 2
-    kept = size.where((F.col("size") >= least) | (F.col("depth") == 0)).select("depth", "context")
-    path = scratch.path("tree")
-
-    def build(pdfs):
-        import pandas as pd
+    grams = counts.where("kind = 0").select("key", "n")
+    parts = max(1, -(-grams.count() // FILE_GRAMS))
+    # all grams of an ending are in one partition, and partitions are in order
+    grams = grams.repartitionByRange(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
+    names = ["zero", "one", "below", "used_zero", "used_one"]
+    sums = grams.mapInArrow(_summed, "last long, node long, " + ", ".join(f"{x} double" for x in names))
+    top = _down(sums.groupBy("last", "node").agg(*[F.sum(x).alias(x) for x in names]).toPandas())  # 256 * 255 rows at most
+    top = scratch.spark.sparkContext.broadcast(top)
+    path = scratch.path("scores")
+
+    def build(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        got = pd.concat([pd.DataFrame({"depth": [], "key": [], "n": []}, dtype=np.int64), *pdfs])
-        tables = build_tree(*(got[c].to_numpy(np.int64) for c in ("depth", "key", "n")))
-        write_file(path, f"a{TaskContext.get().taskAttemptId()}", [t.tobytes() for t in tables])
-        yield pd.DataFrame({"contexts": [len(tables[0])]})
+        done = [(key, Subtrees(key, n).score(top.value).astype(np.float32)) for key, n in _subtrees(batches)]
+        if done:
+            key, score = (np.concatenate(x) for x in zip(*done, strict=True))
+            name = f"{path}/{TaskContext.get().partitionId()}"
+            write_file(name, f"a{TaskContext.get().taskAttemptId()}", [key.tobytes(), score.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array([len(key)]), pa.array([name])], ["first", "n", "path"])
 
-    got = nodes.join(kept, ["depth", "context"], "left_semi").select("depth", "key", "n")
-    scratch.save(got.repartition(1).mapInPandas(build, "contexts long"), "built")
-    return counts, path
+    files = grams.mapInArrow(build, "first long, n long, path string").collect()  # a row a file
+    return counts, [tuple(f) for f in files]
 
 
 def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row per document."""
     scratch = Scratch(docs.sparkSession, "ctw")
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), folds).alias("held_out"))
-    counts, tree = learn(scratch, docs.where("not held_out"))
+    counts, files = learn(scratch, docs)
     words = counts.where("kind = 1")
     n_all, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = words.where(F.col("n") >= max(1, n_all // HEAD_SHARE)).orderBy(F.desc("n"), "key").limit(2 * HEAD_SHARE).select("key", "n").toPandas()
@@ -278,7 +352,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        (keys, logs), (score, after) = model.value, _load(tree)
+        (keys, logs), scores = model.value, Scores(files)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = utf8(batch["text"])
@@ -286,7 +360,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
             n_tokens, known, base, value = (np.zeros(docs_n, t) for t in (np.int64, np.int64, np.float64, np.float64))
             tails, cuts = [], [np.zeros(1, np.int32)]
             for i, j in blocks(offsets):
-                value[i:j] = score_texts(score, after, data, offsets, i, j)
+                value[i:j] = scores.texts(data, offsets, i, j)
                 words = Words(data, offsets, i, j)
                 doc = np.repeat(np.arange(j - i), np.diff(words.first))
                 at = np.searchsorted(keys, words.hash)

@@ -109,3 +109,19 @@ def test_empty_and_without_training(make):
     assert L.score_documents(make([])).collect() == []
     (r,) = L.score_documents(make([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0), "ab")])).collect()
     assert r["held_out"] and r["n_known"] == 0 and abs(r["score"] - 3 * math.log10(1 / 256)) < 1e-4
+
+
+def test_rare_contexts_stay_in_long_texts(make, monkeypatch):
+    # "qz" is seen twice in more than 3 * 2**18 training bytes: a share of the bytes, or the most frequent contexts, would lose it
+    train = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 10]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcd"), 3000)) for _ in train]
+    texts[3] += " qzvkw"
+    texts[200] += " qzvkw"
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    for chunk, grams in ((300_000, 200_000), (1, 700)):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        monkeypatch.setattr(L, "FILE_GRAMS", grams, raising=False)
+        got = {r["doc_id"]: r["score"] for r in L.score_documents(make([*zip(train, texts), (held, "qzvkw qzvkw é")])).collect()}
+        (want,) = reference(["qzvkw qzvkw é"], texts)
+        assert sum(map(len, texts)) > 3 << 18 and abs(got[held] - want) < 1e-3 * abs(want)
