@@ -213,7 +213,7 @@ def _pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, and found: array of struct(kind, value) in order of occurrence."""
     pattern = _any()
-    some = F.col("text").rlike("[0-9]")
+    some = F.col("text").rlike("[0-9@]")  # every pattern has a digit or, of addresses, an at sign
     barrier = lambda c: F.explode(F.array(c))  # noqa: E731  keeps the optimizer from computing c twice
     rows = docs.select("doc_id", "text", barrier(F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("matches"))
     made = F.transform("matches", lambda m: _pseudonym(key, m))

@@ -65,6 +65,13 @@ def test_dates_numbers_and_mail(make):
     assert got[6]["text"] == "v1.2.3 at 12:30" and got[6]["found"] == []
 
 
+def test_address_in_a_text_without_digits(make):
+    got = run(make, [(1, "write to john.smith@example.com"), (2, "7 to john.smith@example.com"), (3, "no data")])
+    (a,), (b,) = [[(v["kind"], v["value"]) for v in got[i]["found"]] for i in (1, 2)]
+    assert a == b and a[0] == "email" and a[1] != "john.smith@example.com" and got[1]["text"] == "write to " + a[1]
+    assert got[3]["text"] == "no data" and got[3]["found"] == []
+
+
 def test_permutation_has_no_collisions(spark):
     from pyspark.sql import functions as F
 
