@@ -65,6 +65,15 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, docs[key].eqNullSafe(F.col("__id")), how)
 
 
+def with_rows(docs: DataFrame, rows: DataFrame, how: str, mark: Column) -> DataFrame:
+    """with_ids for rows: by doc_id and a mark of the text, so rows that share an id, null or not, are told apart.
+    rows: doc_id, mark."""
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), how)
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the least node of its component.
 

@@ -92,7 +92,8 @@ def _verify(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item. Each text is judged by itself, whatever its row's id."""
     scratch = Scratch(docs.sparkSession, "decon-stage")
-    bad = scratch.save(contained_items(docs, items).select("doc_id").distinct(), "bad")
-    return with_ids(docs, bad, "left_anti")
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = scratch.save(contained_items(by_text, items).select(F.col("doc_id").alias("__text")).distinct(), "bad")
+    return with_ids(docs.withColumn("__text", F.xxhash64("text")), bad, "left_anti", "__text").drop("__text")

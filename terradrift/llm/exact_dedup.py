@@ -62,15 +62,16 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of equal texts."""
-    from terradrift.llm.common import with_ids
+    from terradrift.llm.common import with_rows
 
     scratch = Scratch(docs.sparkSession, "dedup-stage")
-    found = scratch.save(exact_dedup(docs).select("doc_id", "kept"), "found")
-    seen = found.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
-    gone, again = seen.where("kept = 0").select("doc_id"), seen.where("kept > 0 and n > 1").select("doc_id")
-    left = with_ids(docs, gone, "left_anti")
+    mark = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    found = scratch.save(exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept"), "found")
+    seen = found.groupBy("doc_id", "mark").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
+    gone, again = seen.where("kept = 0"), seen.where("kept > 0 and n > 1")
+    left = with_rows(docs, gone, "left_anti", mark)
     if again.isEmpty():
         return left
-    # rows that repeat an id: equal texts among them are told apart by their text
-    repeated = with_ids(left, again, "left_semi").withColumn("__same", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)).dropDuplicates(["doc_id", "__same"])
-    return with_ids(left, again, "left_anti").unionByName(repeated.drop("__same"))
+    # equal texts of one id
+    repeated = with_rows(left, again, "left_semi", mark).withColumn("__same", mark).dropDuplicates(["doc_id", "__same"])
+    return with_rows(left, again, "left_anti", mark).unionByName(repeated.drop("__same"))

@@ -25,10 +25,10 @@ are documents of their own and get a row each. Empty table: empty result. Other
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import BROADCAST_ROWS, Scratch, Words, blocks, connected_components, mix, utf8, with_ids
+from terradrift.llm.common import BROADCAST_ROWS, Scratch, Words, blocks, connected_components, mix, utf8, with_rows
 
 #: 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
@@ -73,7 +73,7 @@ def _profile(batches):
         n, c = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
         for d, s in _sets(batch):
             n[d], c[d] = len(s), _class_of(s)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(c)], ["doc_id", "n", "class"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(n), pa.array(c)], ["doc_id", "mark", "n", "class"])
 
 
 def _dealt(parts: list[tuple[np.ndarray, ...]], buckets: int, names: list[str]):
@@ -321,12 +321,21 @@ def _labelled(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str)
     return members.join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
 
 
+def _mark() -> Column:
+    return F.xxhash64("text")
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per input row."""
+    return _components(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """ngram_components with the mark of the row's text and the root of its component, null for an empty set."""
     scratch = Scratch(docs.sparkSession, "ngram")
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    profile = scratch.save(docs.mapInArrow(_profile, f"doc_id {kind}, n long, class long"), "profile")
+    profile = scratch.save(docs.withColumn("mark", _mark()).mapInArrow(_profile, f"doc_id {kind}, mark long, n long, class long"), "profile")
     total = profile.agg(F.sum("n")).first()[0] or 0
     classes = scratch.save(profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     clusters = connected_components(scratch, candidate_edges(scratch, docs, total), "cc-candidates")
@@ -335,15 +344,23 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     linked = connected_components(scratch, edges, "cc-links").select(F.col("node").alias("class"), "root")
     linked = scratch.save(classes.join(linked, "class").select("class", "root", "rep"), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    component = linked.join(least, "root").select("class", "least")
-    final = classes.join(component, "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
+    component = linked.join(least, "root").select("class", "root", "least")
+    final = classes.join(component, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     final = scratch.save(final, "components")
     out = profile.join(final, "class", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.select("doc_id", "mark", "n", "root", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked ones, that with the smallest doc_id."""
+    """docs with one document of each group of linked ones, that with the smallest doc_id; null ids rank last."""
     scratch = Scratch(docs.sparkSession, "ngram-stage")
-    found = scratch.save(ngram_components(docs), "found")
-    return with_ids(docs, found.where("not doc_id <=> component_id").select("doc_id"), "left_anti")
+    found = scratch.save(_components(docs).where("n > 0").select("doc_id", "mark", "root"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    judged = scratch.save(found.join(first, "root").select("doc_id", "mark", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))).alias("kept")), "judged")
+    left = with_rows(docs, judged.where("not kept"), "left_anti", _mark())
+    again = judged.where("kept").groupBy("doc_id", "mark").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    # equal texts of one id
+    repeated = with_rows(left, again, "left_semi", _mark()).dropDuplicates(["doc_id", "text"])
+    return with_rows(left, again, "left_anti", _mark()).unionByName(repeated)

@@ -173,6 +173,16 @@ def _descend(y, row, col, x, width: int, k: int, l1: float, l2: float, steps: in
     return w, np.maximum.accumulate(theta)
 
 
+def _sums(batch, model: OrdinalModel) -> np.ndarray:
+    data, offsets = utf8(batch["text"])
+    f = np.zeros(len(offsets) - 1)
+    for i, j in blocks(offsets):
+        doc, h, n = _counts(Words(data, offsets, i, j, ALNUM), model.hashes)
+        w = model.weights[np.searchsorted(model.hashes, h)] if len(h) else np.empty(0)
+        f[i:j] = np.bincount(doc, weights=w * (1 + np.log(n)), minlength=j - i)
+    return f
+
+
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs' columns doc_id and text, with severity (expected grade), p_toxic (grade 1 or more) and grade (the likeliest)."""
 
@@ -180,13 +190,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = utf8(batch["text"])
-            f = np.zeros(len(offsets) - 1)
-            for i, j in blocks(offsets):
-                doc, h, n = _counts(Words(data, offsets, i, j, ALNUM), model.hashes)
-                w = model.weights[np.searchsorted(model.hashes, h)] if len(h) else np.empty(0)
-                f[i:j] = np.bincount(doc, weights=w * (1 + np.log(n)), minlength=j - i)
-            above = model.at_least(f)
+            above = model.at_least(_sums(batch, model))
             cell = -np.diff(np.column_stack([np.ones(len(f)), above, np.zeros(len(f))]), axis=1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(cell.argmax(1).astype(np.int32))], ["doc_id", "severity", "p_toxic", "grade"])
 
@@ -195,8 +199,12 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """docs whose probability of grade 1 or more is below limit."""
-    from terradrift.llm.common import Scratch, with_ids
+    model = fit(docs, labels)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(~(model.at_least(_sums(batch, model))[:, 0] >= limit)))
 
-    scratch = Scratch(docs.sparkSession, "toxic-stage")
-    bad = scratch.save(score(docs, fit(docs, labels)).where(F.col("p_toxic") >= limit).select("doc_id").distinct(), "bad")
-    return with_ids(docs, bad, "left_anti")
+    return docs.mapInArrow(run, docs.schema)
