@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
         for batch in batches:
             above = model.at_least(_sums(batch, model))
-            cell = -np.diff(np.column_stack([np.ones(len(f)), above, np.zeros(len(f))]), axis=1)
+            cell = -np.diff(np.column_stack([np.ones(len(above)), above, np.zeros(len(above))]), axis=1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(cell.argmax(1).astype(np.int32))], ["doc_id", "severity", "p_toxic", "grade"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, p_toxic double, grade int")
