@@ -1,10 +1,14 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from terradrift.llm import language_id as G
 from terradrift.llm import toxicity as T
+from terradrift.llm.common import hash_word
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -31,6 +35,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert many["severity"] > one["severity"]
 
 
+def test_scores_against_brute_force(spark):
+    """Severity, probability and grade of a given model, word by word; equal grades go to the lower one."""
+    words = {"bad": 1.5, "awful": 2.25, "kind": -0.75, "é": 0.5}
+    hashes = np.array([hash_word(w.encode()) for w in words], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    model = T.OrdinalModel(hashes[order], np.array(list(words.values()))[order], np.array([1.0, 2.0, 3.5]))
+    texts = ["", None, "bad", "BAD bad, kind", "awful awful awful awful", "é-É bad_bad", "nothing here", "kind " * 40_000 + "awful", "bad" * 3, "bad"]
+    got = {r["doc_id"]: r for r in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        found = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or ""))
+        low = ["".join(c.lower() if c.isascii() else c for c in w) for w in found]
+        f = sum(w * (1 + math.log(low.count(k))) for k, w in words.items() if k in low)
+        above = [1 / (1 + math.exp(th - f)) for th in (1.0, 2.0, 3.5)]
+        cells = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert math.isclose(got[i]["severity"], sum(above), rel_tol=1e-9) and math.isclose(got[i]["p_toxic"], above[0], rel_tol=1e-9)
+        assert got[i]["grade"] == cells.index(max(cells))
+    tied = T.OrdinalModel(hashes[order], np.zeros(4), np.array([0.0]))
+    assert [r["grade"] for r in T.score(spark.createDataFrame([(1, "bad")], "doc_id long, text string"), tied).collect()] == [0]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
@@ -41,6 +65,7 @@ def test_toxicity_edges(spark):
 
 
 def brute_phrases(sample: str, text: str) -> int:
+    """Phrases of greedy longest matches; letters that the sample lacks are phrases of their own."""
     n, i = 0, 0
     while i < len(text):
         k = 1
@@ -50,20 +75,58 @@ def brute_phrases(sample: str, text: str) -> int:
     return n
 
 
-def test_phrases_against_brute_force():
+@pytest.mark.parametrize("piece, run_on", [(512, 1024), (16, 24), (7, 3), (64, 0)])
+def test_phrases_against_brute_force(monkeypatch, piece, run_on):
+    monkeypatch.setattr(G, "PIECE", piece)
+    monkeypatch.setattr(G, "RUN_ON", run_on)
     rng = random.Random(8)
     alphabet = "abcdefg"
-    samples = ["".join(rng.choice(alphabet[:k]) for _ in range(120)) for k in (3, 5, 7)]
-    classes = np.zeros(0x10000, np.uint8)
-    classes[[ord(c) for c in alphabet]] = np.arange(2, 9)
-    units = lambda s: np.array([ord(c) for c in s], np.uint16)
-    steps = [G.completed(G.suffix_automaton(classes[units(s)], 9)).ravel() for s in samples]
-    model = G.LanguageModel(["x", "y", "z"], classes, steps, [120] * 3, 9)
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 900))) for _ in range(40)]
-    got = G.phrases(model, [units(t) for t in texts])
+    samples = {f"l{k}": "".join(rng.choice(alphabet[:k]) for _ in range(120)) for k in (3, 5, 7)} | {"p": "abc" * 40, "one": "a" * 30}
+    model = G.build(samples)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 900))) for _ in range(30)] + ["", "a" * 700, "abc" * 300, "cab" * 200 + "g", "z" * 50]
+    got = G.phrases(model, [G._units(t) for t in texts])
     for t, row in zip(texts, got, strict=True):
-        for s, n in zip(samples, row, strict=True):
-            assert n == sum(brute_phrases(s, t[i : i + G.PIECE]) for i in range(0, len(t), G.PIECE))
+        assert [int(n) for n in row] == [brute_phrases(samples[k], t) for k in model.names], t
+
+
+def brute_identify(samples: dict, text: str | None) -> tuple[str, float]:
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low) or not samples:
+        return "und", 0.0
+    plain = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    rate = {k: brute_phrases(plain(s), plain(low)) * math.log2(max(2, len(s.lower()))) / len(low) for k, s in samples.items()}
+    name = min(sorted(rate), key=lambda k: rate[k])
+    return name, 1 / sum(2.0 ** -min(60, r - rate[name]) for r in rate.values())
+
+
+def test_identify_against_brute_force(spark):
+    """Scripts of many letters, letters beyond the basic plane, ties, letters that no sample has."""
+    rng = random.Random(11)
+    han = [chr(0x4E00 + k) for k in range(1500)]
+    gothic = [chr(0x10330 + k) for k in range(20)]
+    kinds = {"zh": han[:900], "ja": han[600:], "got": gothic, "en": ["the ", "and ", "er", "on "], "nl": ["het ", "en ", "er", "oo "]}
+    rows = [(k, "".join(rng.choice(kinds[lang]) for _ in range(rng.randrange(5, 120))), lang) for k, lang in ((k, rng.choice(list(kinds))) for k in range(160))]
+    rows += [(500, "\U00010331\U00010332" * 6, None), (501, "\u0416\u0417", None), (502, "the \U0001F600 and", None), (503, "1 2 3", "en"), (504, None, "zh"), (505, "", None), (506, "THE AND", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model_rows = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    samples = G.sample(spark.createDataFrame(model_rows, "text string, lang string"))
+    assert len({c for s in samples.values() for c in s}) > 1000  # far more letters than a byte has
+    got = {r["doc_id"]: r for r in G.identify(docs).collect()}
+    for i, t, _ in rows:
+        name, score = brute_identify(samples, t)
+        assert (got[i]["lang_pred"], round(got[i]["score"], 9)) == (name, round(score, 9)), (i, t)
+    assert got[500]["lang_pred"] == "got" and got[501]["lang_pred"] != "und"
+    held = [got[i]["lang_pred"] == lang for i, _, lang in rows if lang and got[i]["held_out"] and i < 500]
+    assert np.mean(held) > 0.7  # half of the letters of two languages are the same
+
+
+def test_language_sample_bounds(spark):
+    rows = [("x " * 100_000, "long")] + [(f"short text {k} " * 9, lang) for k in range(900) for lang in ("a", "b")] + [("y" * 30_000, "a")]
+    samples = G.sample(spark.createDataFrame(rows, "text string, lang string"), 100, 4000)
+    assert len(samples["long"]) == 4000  # its only row is longer than a sample
+    assert all(0 < len(samples[k]) <= 4000 and "y" not in samples[k] for k in "ab")
+    whole = {t for t, _ in rows}
+    assert sum(samples["a"].count(t) for t in whole if t.strip()) >= 10
 
 
 def test_language_on_held_out_rows(spark):
