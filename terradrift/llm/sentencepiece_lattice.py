@@ -12,16 +12,22 @@ the edges are grouped by unit, and a higher-order aggregate folds them into piec
 
 Each task of the scan lists its distinct units with its own number, the unit's pieces come back under that
 number as one dictionary file per task in the shared folder, and the second scan encodes with it. So no
-text is shuffled, and no dictionary is larger than what one task reads. `docs` must be a scan with narrow
-steps only, which deals rows to tasks alike both times; a unit that a task's dictionary lacks is an error.
+text is shuffled, and no dictionary is larger than what one task reads. Rows that come out of a shuffle are
+written first, since two runs of it may deal them differently; a unit that a task's dictionary still lacks is folded there.
+
+Units over WINDOW characters (a blob, or text in which all pairs join) go to the lattice as windows that overlap by
+half, so no fold is longer than a window, and are put together at a piece that two neighbours both have. That is
+exact for BPE: pieces are a text's encoding if and only if each two neighbours are the encoding of their joined
+text, and every two neighbours of the result are neighbours in a window. Where two windows share no piece, and for
+unigram tables, whose best path is no local matter, the worker folds the whole unit, in n log n steps.
 
 Characters without a piece become their UTF-8 bytes' pieces. Nulls: a null text is empty and has no ids.
-Repeated rows are encoded alike. Empty table: empty result. Very long units explode linearly in their
-length. Only doc_id and text are read.
+Repeated rows are encoded alike. Empty table: empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +43,8 @@ SPACE = "▁"
 CUT = "\x1f"
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 19
+#: Characters of a unit that the lattice takes at once.
+WINDOW = 64
 
 
 @dataclass
@@ -72,6 +80,10 @@ class PieceTable:
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
+    def fold(self, unit: str) -> list[str]:
+        """The pieces of a unit without the lattice."""
+        return _merged(unit, self.pieces) if self.kind == "bpe" else _best(unit, self.pieces, self.longest())
+
     def ids(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
@@ -82,6 +94,70 @@ class PieceTable:
         return out
 
 
+def _merged(unit: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
+    """Merges by score, of equal ones the first, with linked symbols and a heap."""
+    n = len(unit)
+    after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (found := pieces.get(unit[i : j + width[j]])):
+            heapq.heappush(heap, (-found[1], i, j + width[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not width[i] or j >= n or j + width[j] != stop or i + width[i] != j:
+            continue  # one of the two has been merged since
+        width[i], width[j] = stop - i, 0
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [unit[i : i + width[i]] for i in range(n) if width[i]]
+
+
+def _best(unit: str, pieces: dict[str, tuple[int, float]], longest: int, unknown: float = -1e4) -> list[str]:
+    """Viterbi as fold_viterbi does it."""
+    best, back = [0.0] + [-1e300] * len(unit), [0] * (len(unit) + 1)
+    for stop in range(1, len(unit) + 1):
+        for start in range(max(0, stop - longest), stop):
+            scores = [pieces[unit[start:stop]][1]] if unit[start:stop] in pieces else []
+            for score in sorted([*scores, *([unknown] if start == stop - 1 else [])]):
+                if best[start] + score >= best[stop]:
+                    best[stop], back[stop] = best[start] + score, start
+    out, at = [], len(unit)
+    while at:
+        out.append(unit[back[at] : at])
+        at = back[at]
+    return out[::-1]
+
+
+def stitched(n: int, windows: list[list[str]]) -> list[str] | None:
+    """The pieces of a unit of n characters from those of its windows; None where two windows have no piece in common."""
+    out: list[tuple[int, int, str]] = []
+    for k, pieces in enumerate(windows):
+        at, here = k * (WINDOW // 2), []
+        for piece in pieces:
+            here.append((at, at + len(piece), piece))
+            at += len(piece)
+        if k:
+            spans = {(a, b): i for i, (a, b, _) in enumerate(here)}
+            keep = len(out) - 1
+            while keep >= 0 and out[keep][0] >= k * (WINDOW // 2) and out[keep][:2] not in spans:
+                keep -= 1
+            if keep < 0 or out[keep][:2] not in spans:
+                return None
+            out, here = out[: keep + 1], here[spans[out[keep][:2]] + 1 :]
+        out += here
+    return [p for _, _, p in out]
+
+
 class Cutter:
     """Cuts texts into units, which it knows by 64-bit hashes of their characters."""
 
@@ -120,6 +196,11 @@ class Cutter:
         places = np.flatnonzero(edge)
         return whole, places, self.hashes(code, places[:-1], places[1:]), np.searchsorted(places, begin)
 
+    def windows(self, n: int) -> list[tuple[int, int]]:
+        """Ranges of the windows of a long unit of n characters."""
+        half = WINDOW // 2
+        return [(a, min(n, a + WINDOW)) for a in range(0, max(1, n - half), half)]
+
 
 class Known:
     """Ids of units by hash: sorted hashes, and where in the pool a unit's ids begin and how many there are."""
@@ -150,6 +231,23 @@ class Known:
         return self.pool[np.repeat(shift, width) + np.arange(int(width.sum()))], width
 
 
+class Seen:
+    """A growing set of hashes: a large sorted array and a small one, which joins it when it has grown."""
+
+    def __init__(self):
+        self.parts = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the sorted distinct hashes are new."""
+        new = np.ones(len(hashes), bool)
+        for part in self.parts:
+            if len(part):
+                new &= part[np.minimum(np.searchsorted(part, hashes), len(part) - 1)] != hashes
+        large, small = self.parts[0], np.union1d(self.parts[1], hashes[new])
+        self.parts = [np.union1d(large, small), small[:0]] if 4 * len(small) > len(large) else [large, small]
+        return new
+
+
 # --- the lattice ----------------------------------------------------------------------------------
 
 
@@ -241,7 +339,8 @@ def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFra
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, cutter, seen = TaskContext.get().partitionId(), Cutter(shared.value), np.empty(0, np.uint64)
+        part, cutter, seen = TaskContext.get().partitionId(), Cutter(shared.value), Seen()
+        bpe = shared.value.kind == "bpe"
         for batch in batches:
             for _, _, texts in _chunks(batch):
                 whole, places, hashes, _ = cutter.cut(texts)
@@ -249,20 +348,25 @@ def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFra
                 ranked = hashes[order]
                 edge = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
                 unit, first = ranked[edge], order[edge]
-                at = np.searchsorted(seen, unit)
-                here = seen[np.minimum(at, len(seen) - 1)] == unit if len(seen) else np.zeros(len(unit), bool)
-                new = ~here & (places[first + 1] - places[first] > 1)
-                seen = np.insert(seen, at[new], unit[new])
-                spans = zip(places[first[new]].tolist(), places[first[new] + 1].tolist(), strict=True)
-                names = pa.array([whole[a:b] for a, b in spans], pa.string())
+                several = places[first + 1] - places[first] > 1
+                unit, first = unit[several], first[several]
+                new = first[seen.add(unit)]
+                found = [whole[a:b] for a, b in zip(places[new].tolist(), places[new + 1].tolist(), strict=True)]
+                if bpe and (longer := [u for u in found if len(u) > WINDOW]):
+                    parts = {u[a:b] for u in longer for a, b in cutter.windows(len(u))}
+                    found = [u for u in found if len(u) <= WINDOW] + sorted(parts)
+                names = pa.array([u for u in found if len(u) <= WINDOW], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part, np.int32)), names], ["part", "unit"])
 
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = scratch.save(docs.select("doc_id", "text"), "texts")
     texts = docs.select("text")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     # written, so that the texts are cut once; units are dealt once for the lattice, which keeps that partitioning
     # up to its groups, and once for the join
     uses = scratch.save(texts.mapInArrow(list_units, "part int, unit string"), "uses").repartition(tasks, "unit")
     distinct = uses.select("unit").distinct()
+    # a unit may come twice from a task, as itself and as a window
     rows = uses.join(segment(distinct, table), "unit", "left").select("part", F.coalesce("cut", F.regexp_replace("unit", "(?<=.)(?=.)", CUT)).alias("cut"))
 
     def write(key, pdf):
@@ -279,7 +383,7 @@ def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFra
 
     scratch.save(rows.groupBy("part").applyInPandas(write, "part int, n long"), "written")
 
-    def read_words(path: str, cutter: Cutter, t: PieceTable, kind: np.dtype) -> Known:
+    def read_words(path: str, cutter: Cutter, t: PieceTable, kind: np.dtype, windows: dict[str, str]) -> Known:
         import pyarrow as pa
 
         known = Known(np.empty(0, np.uint64), [], kind)
@@ -287,8 +391,10 @@ def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFra
             with open_file(path) as f, pa.ipc.open_stream(f) as stream:
                 for batch in stream:
                     for lo in range(0, len(batch), 50_000):
-                        cuts = batch["cut"][lo : lo + 50_000].to_pylist()
+                        cuts = list(set(batch["cut"][lo : lo + 50_000].to_pylist()))
                         names = [c.replace(CUT, "") for c in cuts]
+                        if t.kind == "bpe":
+                            windows.update((n, c) for n, c in zip(names, cuts, strict=True) if len(n) > WINDOW // 2)
                         ends = np.cumsum([len(n) for n in names])
                         code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
                         known.join(Known(cutter.hashes(code, np.append(0, ends[:-1]), ends), [t.ids(c.split(CUT)) for c in cuts], kind))
@@ -302,17 +408,25 @@ def encode(docs: DataFrame, table: PieceTable, digests: bool = False) -> DataFra
 
         t = shared.value
         cutter, kind = Cutter(t), np.dtype("<u2" if len(t.bytes_of) <= 1 << 16 else "<u4")
-        known = read_words(f"{root}/words/{TaskContext.get().partitionId():06d}", cutter, t, kind)
+        windows: dict[str, str] = {}  # the cuts of units that may be windows
+        known = read_words(f"{root}/words/{TaskContext.get().partitionId():06d}", cutter, t, kind, windows)
+
+        def pieces(unit: str) -> list[str]:
+            if t.kind == "bpe" and len(unit) > WINDOW:
+                cuts = [windows.get(unit[a:b]) for a, b in cutter.windows(len(unit))]
+                if None not in cuts and (done := stitched(len(unit), [c.split(CUT) for c in cuts])):
+                    return done
+            return [unit] if len(unit) == 1 else t.fold(unit)
+
         for batch in batches:
             for i, j, texts in _chunks(batch):
                 whole, places, hashes, first = cutter.cut(texts)
                 at, ok = known.find(hashes)
-                if not ok.all():  # units of one character aren't in the files
+                if not ok.all():  # units of one character and long ones aren't in the files
                     miss, where = np.unique(hashes[~ok], return_index=True)
                     where = np.flatnonzero(~ok)[where]
-                    if (places[where + 1] - places[where] > 1).any():
-                        raise RuntimeError("the scan dealt its rows to other tasks than before")
-                    known.join(Known(miss, [t.ids([whole[p]]) for p in places[where].tolist()], kind))
+                    spans = zip(places[where].tolist(), places[where + 1].tolist(), strict=True)
+                    known.join(Known(miss, [t.ids(pieces(whole[a:b])) for a, b in spans], kind))
                     at, _ = known.find(hashes)
                 ids, width = known.gather(at)
                 cuts = np.concatenate([[0], np.cumsum(width)])[first]

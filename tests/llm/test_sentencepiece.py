@@ -43,6 +43,43 @@ def test_many_tasks_and_empty(make, pieces, library, corpus):
     assert S.encode(make([]), pieces).collect() == []
 
 
+def test_long_units(make, spark, pieces, library):
+    """A megabyte without a cut, and texts whose windows share no piece, in linear time."""
+    rng = random.Random(9)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    rows = [(1, blob), (2, "the" * 100_000), (3, "a" * 50_000), (4, "=" * 777), (5, "ab" * 33), (6, "x" + "the" * 21), (7, "an" * 4000 + " tail")]
+    got = {r["doc_id"]: r["ids"] for r in S.encode(make(rows), pieces).collect()}
+    assert got == {i: library.encode(t) for i, t in rows}
+
+
+def test_windows_and_folds_give_the_same_pieces(pieces):
+    rng = random.Random(5)
+    cutter, met = S.Cutter(pieces), 0
+    for k in range(60):
+        unit = "".join(rng.choice(["the", "ing", "a", "tion", "e", "xq", "99", "er"][: 2 + k % 7]) for _ in range(rng.randrange(40, 200)))
+        whole = pieces.fold(unit)
+        assert "".join(whole) == unit
+        done = S.stitched(len(unit), [pieces.fold(unit[a:b]) for a, b in cutter.windows(len(unit))])
+        assert done in (None, whole)
+        met += done is not None
+    assert met > 20
+
+
+def test_rows_out_of_a_shuffle(make, pieces, library, corpus):
+    rows = [(k, t) for k, (_, t) in enumerate(corpus)]
+    got = S.encode(make(rows).repartition(5), pieces).collect()
+    assert all(r["ids"] == library.encode(dict(rows)[r["doc_id"]] or "") for r in got) and len(got) == len(rows)
+
+
+def test_fold_of_unigram_tables_in_the_worker(spark):
+    rng = random.Random(3)
+    scores = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): -rng.random() * 9 for _ in range(40)}
+    table = S.PieceTable({p: (i, s) for i, (p, s) in enumerate(scores.items())}, [-1] * 256, 0, "unigram", [p.encode() for p in scores])
+    for _ in range(200):
+        unit = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+        assert abs(sum(scores.get(p, -1e4) for p in table.fold(unit)) - best(unit, scores)) < 1e-6
+
+
 def test_decoding_broken_bytes(spark, pieces, library):
     ids = [library.piece_to_id("<0xC3>"), library.piece_to_id("▁x"), library.piece_to_id("<0x0A>")]
     rows = spark.createDataFrame([(1, ids), (2, []), (3, None)], "doc_id long, ids array<int>")
