@@ -5,17 +5,19 @@ hashes; two different shingles share one with probability 2**-64). The result is
 
 1. Profile: size and class of every document; equal sets have one class, so exact copies of any number
    are one row of the matrix.
-2. Order: shingles that are frequent in a fixed eighth of the classes come last. Any order is right,
-   this one keeps common passages out of the prefixes; the sample decides nothing else.
+2. Order: shingles by how often they occur in a fixed eighth of the classes, in steps of two, the rarest first. Any order is
+   right, this one keeps common passages out of the prefixes; the sample decides nothing else.
 3. Blocks: a set of n shingles that links to another shares ceil(0.8 n) with it at least, so l of them
-   lie in both prefixes of length n - ceil(0.8 n) + l. The incidence of the prefixes is dealt into blocks
-   of columns; each block multiplies with itself, giving pairs and overlap counts, which are summed over
-   the blocks; pairs below their bound l, or whose sizes cannot link, are discarded. Columns of very many
-   classes emit a star instead of pairs.
-4. Clusters: connected components of what remains. Each is one dense or sparse product over whole sets
-   in one task, which links exactly. A cluster over TASK_SHINGLES is cut into chunks: products within
-   chunks first, then between representatives of the components so found, then exactly between chunks,
-   where two chunks of one component are left out. No pair table of a group is ever written.
+   lie in both prefixes of length n - ceil(0.8 n) + l. The incidence of the prefixes, a class once a task, is dealt into
+   blocks of columns; each block multiplies with itself, giving pairs and overlap counts, which are summed over
+   the blocks; pairs below their bound l, or whose sizes cannot link, are discarded. A column of more than DENSE classes
+   emits a chain of its classes by size instead of pairs, broken where sizes cannot link.
+4. Clusters: connected components of what remains. One within TASK_SHINGLES is one dense or sparse product over whole sets
+   in one task, which links exactly. The members of larger ones go through steps 2 and 3 again, each cluster with columns of its
+   own and an order counted over its own sets, which takes apart what common passages had chained.
+   What is still large, groups of near copies as a rule, is cut into chunks: products within
+   chunks first, then between a few members of the components so found, round after round while that joins them,
+   then exactly between chunks, where two chunks of one component are left out. No pair table of a group is ever written.
 
 A document's component_id is the smallest doc_id reachable by links. Nulls: a null text is empty; empty
 sets link with nothing; null ids take part and never are the smallest unless alone. Rows that repeat an id
@@ -34,12 +36,13 @@ from terradrift.llm.common import BROADCAST_ROWS, Scratch, Words, blocks, connec
 SIMILAR = 80
 WIDTH = 5
 #: A shingle is frequent from so many occurrences in the sampled classes, one in SAMPLE; raised until MOST_FREQUENT hold.
-#: Columns of DENSE_FACTOR times the documents that this stands for are so rarely missed by the sample that only texts
-#: made of frequent shingles have them in their prefix.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2_000_000
+#: Classes of a column that are paired; it bounds the pairs that a column emits at every size.
+DENSE = 128
 #: Prefix entries, and shingles of whole sets, that a task multiplies.
-BLOCK_ENTRIES, TASK_SHINGLES = 600_000, 800_000
-DENSE_FACTOR = 4
+BLOCK_ENTRIES, TASK_SHINGLES = 600_000, 200_000
+#: Rounds in which components of large clusters meet, at most, and the share of them that a round must join.
+ROUNDS, WORTH = 8, 0.2
 
 _U = np.uint64
 
@@ -90,103 +93,135 @@ def _dealt(parts: list[tuple[np.ndarray, ...]], buckets: int, names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", *names])
 
 
-def _collect(batches, entries, buckets: int, names: list[str]):
-    """entries(set) gives a document's arrays; they leave in rows of a bucket each."""
-    parts, held = [], 0
+def _text_rows(batches):
+    """(0, class, set) of each text, a class once."""
+    seen: set[int] = set()
     for batch in batches:
         for _, s in _sets(batch):
-            if len(s) and (got := entries(s)) is not None:
-                parts.append(got)
-                held += len(got[0])
-            if held >= 1_000_000:
-                yield _dealt(parts, buckets, names)
-                parts, held = [], 0
+            if len(s) and (c := _class_of(s)) not in seen:
+                seen.add(c)
+                yield 0, c, s
+
+
+def _set_rows(batches):
+    """(cluster, class, set) of saved sets."""
+    for batch in batches:
+        for cluster, c, s in zip(batch["cluster"].to_pylist(), batch["class"].to_pylist(), batch["s"].to_pylist(), strict=True):
+            yield cluster, c, np.frombuffer(s, _U)
+
+
+def _salted(s: np.ndarray, cluster: int) -> np.ndarray:
+    """Columns of a cluster's own, in order."""
+    return np.sort(mix(s ^ mix(np.array([cluster], np.int64).view(_U)))) if cluster else s
+
+
+def _collect(rows, entries, buckets: int, names: list[str]):
+    """entries(class, set) gives a document's arrays; they leave in rows of a bucket each."""
+    parts, held = [], 0
+    for cluster, c, s in rows:
+        if (got := entries(c, _salted(s, cluster))) is not None:
+            parts.append(got)
+            held += len(got[0])
+        if held >= 1_000_000:
+            yield _dealt(parts, buckets, names)
+            parts, held = [], 0
     if held:
         yield _dealt(parts, buckets, names)
 
 
-def _frequent(scratch: Scratch, docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
-    """Sorted hashes of frequent shingles, MOST_FREQUENT at most, and the count they have in the sample at least."""
+class Order:
+    """Sorted hashes of frequent shingles, and a rank that grows with their count."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.rank = h[order], (1 + np.log2(np.maximum(1, n[order]))).astype(np.uint8)
+
+    def sorted(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return s
+        at = np.searchsorted(self.h, s)
+        at[at == len(self.h)] = 0
+        rank = np.where(self.h[at] == s, self.rank[at], 0)
+        return s[np.argsort(rank, kind="stable")] if rank.any() else s
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        return self.sorted(s)[: n - need(n) + int(extra(n))]
+
+
+def _frequent(scratch: Scratch, rows: DataFrame, reader, total: int, every: int, name: str) -> Order:
+    """The order, from one class in `every`."""
     import pandas as pd
 
-    buckets = max(1, -(-total // (SAMPLE * 2 * BLOCK_ENTRIES)))
+    buckets = max(1, -(-total // (every * 2 * BLOCK_ENTRIES)))
 
     def sampled(batches):
-        yield from _collect(batches, lambda s: (s,) if _class_of(s) % SAMPLE == 0 else None, buckets, ["h"])
+        yield from _collect(reader(batches), lambda c, s: (s,) if c % every == 0 else None, buckets, ["h"])
 
     def count(pdf):
         h, n = np.unique(np.frombuffer(b"".join(pdf["h"]), _U), return_counts=True)
         keep = n >= FREQUENT
         return pd.DataFrame({"h": h[keep].view(np.int64), "n": n[keep]})
 
-    rows = docs.select("text").mapInArrow(sampled, "bucket int, h binary").groupBy("bucket").applyInPandas(count, "h long, n long")
-    rows, least = scratch.save(rows, "frequent"), FREQUENT
-    while rows.where(F.col("n") >= least).count() > MOST_FREQUENT:
+    found = rows.mapInArrow(sampled, "bucket int, h binary").groupBy("bucket").applyInPandas(count, "h long, n long")
+    found, least = scratch.save(found, f"frequent-{name}"), FREQUENT
+    while found.where(F.col("n") >= least).count() > MOST_FREQUENT:
         least *= 2
-    got = rows.where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(_U)), least
-
+    got = found.where(F.col("n") >= least).select("h", "n").toPandas()
+    return Order(got["h"].to_numpy(np.int64).view(_U), got["n"].to_numpy(np.int64))
 
-def _prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    n = len(s)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        last = frequent[at] == s
-        if last.any():
-            s = np.concatenate([s[~last], s[last]])
-    return s[: n - need(n) + int(extra(n))]
 
-
-def _block_pairs(pdf, dense: int):
+def _block_pairs(pdf):
     """Product of one block of columns: pairs of classes with their overlap count here and their bound."""
     import pandas as pd
 
     h, c, n = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("h", _U), ("c", np.int64), ("n", np.int32)))
-    order = np.lexsort((c, h))
+    order = np.lexsort((c, n, h))
     h, c, n = h[order], c[order], n[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])  # copies have one class
-    h, c, n = h[new], c[new], n[new]
+    h, c, n = h[new], c[new], n[new].astype(np.int64)
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(h)))
-    a, b, star = [], [], []
+    a, b, chain = [], [], []
     for k in np.unique(size[size > 1]):
         at = start[size == k]
-        if k <= dense:
+        if k <= DENSE:
             x, y = np.triu_indices(int(k), 1)
             a.append((at[:, None] + x).ravel())
             b.append((at[:, None] + y).ravel())
         else:
-            star += [(p, q) for p in at for q in range(p + 1, p + int(k))]
+            chain.append((at[:, None] + np.arange(int(k) - 1)).ravel())
     a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-    small, large = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
-    ok = 100 * small >= SIMILAR * large
-    a, b, bound = a[ok], b[ok], np.minimum(extra(n[a[ok]]), extra(n[b[ok]]))
-    pair, first, times = np.unique(np.stack([c[a], c[b]], 1), axis=0, return_index=True, return_counts=True) if len(a) else (np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    ok = 100 * n[a] >= SIMILAR * n[b]  # by size within a column
+    a, b = a[ok], b[ok]
+    bound = np.minimum(extra(n[a]), extra(n[b]))
+    pair, first, times = np.unique(np.sort(np.stack([c[a], c[b]], 1), axis=1), axis=0, return_index=True, return_counts=True) if len(a) else (np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     out = pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "overlap": times.astype(np.int64), "bound": bound[first].astype(np.int64)})
-    if star:
-        s = np.unique(c[np.array(star)], axis=0)
-        out = pd.concat([out, pd.DataFrame({"a": s[:, 0], "b": s[:, 1], "overlap": np.int64(1 << 40), "bound": np.int64(1)})])
+    if chain:
+        p = np.concatenate(chain)
+        p = p[100 * n[p] >= SIMILAR * n[p + 1]]
+        both = np.unique(np.sort(np.stack([c[p], c[p + 1]], 1), axis=1), axis=0)
+        out = pd.concat([out, pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "overlap": np.int64(1 << 40), "bound": np.int64(1)})])
     return out
 
 
-def candidate_edges(scratch: Scratch, docs: DataFrame, total: int) -> DataFrame:
-    found, least = _frequent(scratch, docs, total)
-    frequent, dense = docs.sparkSession.sparkContext.broadcast(found), DENSE_FACTOR * SAMPLE * least  # MOST_FREQUENT bounds it
+def candidate_edges(scratch: Scratch, rows: DataFrame, total: int, reader=_text_rows, every: int = SAMPLE, name: str = "all") -> DataFrame:
+    """(a, b) classes. reader: makes (cluster, class, set) of rows' batches; total: the shingles of all sets."""
+    order = rows.sparkSession.sparkContext.broadcast(_frequent(scratch, rows, reader, total, every, name))  # MOST_FREQUENT bounds it
     buckets = max(1, -(-total // (3 * BLOCK_ENTRIES)))
 
     def dealt(batches):
-        def entries(s):
-            p = _prefix(s, frequent.value)
-            return p, np.full(len(p), _class_of(s)), np.full(len(p), len(s), np.int32)
+        def entries(c, s):
+            p = order.value.prefix(s)
+            return p, np.full(len(p), c), np.full(len(p), len(s), np.int32)
 
-        yield from _collect(batches, entries, buckets, ["h", "c", "n"])
+        yield from _collect(reader(batches), entries, buckets, ["h", "c", "n"])
 
-    pairs = docs.select("text").mapInArrow(dealt, "bucket int, h binary, c binary, n binary").groupBy("bucket")
-    pairs = pairs.applyInPandas(lambda pdf: _block_pairs(pdf, dense), "a long, b long, overlap long, bound long")
+    pairs = rows.mapInArrow(dealt, "bucket int, h binary, c binary, n binary").groupBy("bucket")
+    pairs = pairs.applyInPandas(_block_pairs, "a long, b long, overlap long, bound long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.min("bound").alias("bound"))
-    return scratch.save(pairs.where("overlap >= bound").select("a", "b"), "candidates")
+    return scratch.save(pairs.where("overlap >= bound").select("a", "b"), f"candidates-{name}")
 
 
 # --- exact links within clusters ------------------------------------------------------------------
@@ -259,61 +294,99 @@ def _compare(pdf):
 def _whole_sets(batches):
     import pyarrow as pa
 
+    seen: set[int] = set()  # rows may repeat an id with its text
     for batch in batches:
-        rows, sets = [], []
+        rows, sets, classes = [], [], batch["class"].to_pylist()
         for d, s in _sets(batch):
-            if _class_of(s) == batch["class"][d].as_py():  # else a row that repeats an id with another text
+            if classes[d] not in seen and _class_of(s) == classes[d]:
+                seen.add(classes[d])
                 rows.append(d)
                 sets.append(s.tobytes())
         if rows:
             kept = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([kept["class"], kept["cluster"], kept["tasks"], pa.array(sets, pa.binary())], ["class", "cluster", "tasks", "s"])
+            yield pa.RecordBatch.from_arrays([kept["class"], kept["cluster"], kept["task"], pa.array(sets, pa.binary())], ["class", "cluster", "task", "s"])
 
 
-def _run_tasks(scratch: Scratch, docs: DataFrame, plan: DataFrame, name: str) -> DataFrame:
-    """plan: rep, class, cluster, tasks array<string>. Edges of the components that each task finds."""
+def _sets_of(scratch: Scratch, docs: DataFrame, plan: DataFrame, name: str) -> DataFrame:
+    """class, cluster, task and the whole set of the rows of plan: rep, mark, class, cluster, task."""
     plan = scratch.save(plan, f"{name}-plan")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    rows = docs.select("doc_id", "text").join(plan, docs["doc_id"].eqNullSafe(F.col("rep"))).select("text", "class", "cluster", "tasks")
-    rows = rows.mapInArrow(_whole_sets, "class long, cluster long, tasks array<string>, s binary")
-    rows = rows.select("class", "cluster", "s", F.explode("tasks").alias("task"))
-    return scratch.save(rows.groupBy("task").applyInPandas(_compare, "a long, b long"), f"{name}-edges")
+    rows = docs.select("doc_id", "text", _mark().alias("text_mark"))
+    rows = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("rep")) & (F.col("text_mark") == F.col("mark"))).select("text", "class", "cluster", "task")
+    return rows.mapInArrow(_whole_sets, "class long, cluster long, task string, s binary")
+
+
+def _tasks(scratch: Scratch, sets: DataFrame, name: str) -> DataFrame:
+    """Edges of the components that each task finds. sets: class, cluster, s, task."""
+    return scratch.save(sets.groupBy("task").applyInPandas(_compare, "a long, b long"), f"{name}-edges")
+
+
+def _load(members: DataFrame) -> DataFrame:
+    """members (class, cluster, n, ...) with the load of their cluster."""
+    load = members.groupBy("cluster").agg(F.sum(F.greatest(F.col("n"), F.lit(256))).alias("load"))
+    return members.join(load, "cluster")
 
 
 def _link_clusters(scratch: Scratch, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members: rep, class, cluster, n. Edges whose components are those of all links."""
-    weight = F.greatest(F.col("n"), F.lit(256))
-    load = members.groupBy("cluster").agg(F.sum(weight).alias("load"))
-    members = scratch.save(members.join(load, "cluster"), "members")
+    """members: rep, mark, class, cluster, n. Edges whose components are those of all links."""
+    members = scratch.save(_load(members), "members")
     small, large = members.where(F.col("load") <= TASK_SHINGLES), members.where(F.col("load") > TASK_SHINGLES)
-    whole = small.agg(F.sum(weight)).first()[0] or 0
-    bins = max(1, -(-whole * 2 // TASK_SHINGLES))
-    chunks = F.ceil(F.col("load") / TASK_SHINGLES)
-    chunk = F.pmod(F.xxhash64("class"), chunks)
-    first = small.withColumn("tasks", F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins)))))
-    first = first.unionByName(large.withColumn("tasks", F.array(F.concat_ws("/", "cluster", chunk))))
-    edges = _run_tasks(scratch, docs, first.select("rep", "class", "cluster", "tasks"), "within")
+    edges = _tasks(scratch, _sets_of(scratch, docs, small.withColumn("task", _bin(small)).select("rep", "mark", "class", "cluster", "task"), "small"), "small")
     if large.isEmpty():
         return edges
-    now = _labelled(scratch, large, edges, "one")
-    size = now.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.expr("array_agg(DISTINCT class) FILTER (WHERE pmod(xxhash64(class, 7), 1024) = 0)").alias("few"), F.min("class").alias("least"))
-    speakers = size.where("size >= 4").select("cluster", F.explode(F.array_distinct(F.slice(F.array_append(F.coalesce("few", F.array().cast("array<bigint>")), F.col("least")), 1, 8))).alias("class"))
-    speakers = now.join(speakers, ["cluster", "class"], "left_semi").withColumn("tasks", F.array(F.concat_ws("/", "cluster", F.lit("speakers"), F.pmod(F.xxhash64("class"), F.ceil(F.col("load") / (16 * TASK_SHINGLES))))))
-    edges = edges.unionByName(_run_tasks(scratch, docs, speakers.select("rep", "class", "cluster", "tasks"), "speakers"))
-    now = _labelled(scratch, large, edges, "two")
+    sets = _sets_of(scratch, docs, large.select("rep", "mark", "class", "cluster", F.lit("").alias("task")), "large").drop("task")
+    sets = scratch.save(sets, "large-sets")
+    # the same join within each cluster, by the cluster's own columns and counts
+    total = large.agg(F.sum("n")).first()[0]
+    pairs = candidate_edges(scratch, sets.select("cluster", "class", "s"), total, _set_rows, 1, "large")
+    roots = connected_components(scratch, pairs, "cc-large")
+    now = large.select("class", "n").join(roots.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
+    now = scratch.save(_load(now), "parted")
+    small, large = now.where(F.col("load") <= TASK_SHINGLES), now.where(F.col("load") > TASK_SHINGLES)
+    sets = sets.select("class", "s")
+    edges = edges.unionByName(_tasks(scratch, sets.join(small.withColumn("task", _bin(small)).select("class", "cluster", "task"), "class"), "parted"))
+    return edges if large.isEmpty() else edges.unionByName(_link_large(scratch, sets, large))
+
+
+def _bin(members: DataFrame):
+    whole = members.agg(F.sum(F.greatest(F.col("n"), F.lit(256)))).first()[0] or 0
+    return F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-whole * 4 // TASK_SHINGLES)))))
+
+
+def _link_large(scratch: Scratch, sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Edges within clusters of any size. large: class, cluster, n, load."""
+    weight = F.greatest(F.col("n"), F.lit(256))
+    chunks = F.ceil(F.col("load") / TASK_SHINGLES)
+    task = F.concat_ws("/", "cluster", F.pmod(F.xxhash64("class"), chunks))
+    edges = _tasks(scratch, sets.join(large.select("class", "cluster", task.alias("task")), "class"), "within")
+    comps = None
+    for k in range(ROUNDS):
+        now = _labelled(scratch, large, edges, f"round-{k}")
+        size = scratch.save(now.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.expr("array_agg(DISTINCT class) FILTER (WHERE pmod(xxhash64(class, 7), 1024) = 0)").alias("few"), F.min("class").alias("least")), f"sizes-{k}")
+        many = size.where("size >= 4")
+        before, comps = comps, many.count()
+        if comps < 2 or (before and comps > (1 - WORTH) * before):
+            break
+        # eight members of a component speak for it; those of one cluster are dealt to tasks anew each round
+        speakers = many.select("cluster", F.explode(F.array_distinct(F.slice(F.array_append(F.coalesce("few", F.array().cast("array<bigint>")), F.col("least")), 1, 8))).alias("class"))
+        speakers = large.join(speakers, ["cluster", "class"], "left_semi")
+        loads = speakers.groupBy("cluster").agg(F.ceil(F.sum(weight) / TASK_SHINGLES).alias("tasks"))
+        speakers = speakers.join(loads, "cluster").select("class", "cluster", F.concat_ws("/", "cluster", F.pmod(F.xxhash64("class", F.lit(k)), F.col("tasks"))).alias("task"))
+        edges = edges.unionByName(_tasks(scratch, sets.join(speakers, "class"), f"speakers-{k}"))
+    now = _labelled(scratch, large, edges, "parts")
     loads = now.groupBy("cluster", "comp").agg(F.sum(weight).alias("comp_load"))
     now = now.join(loads, ["cluster", "comp"])
     pure = F.col("comp_load") >= TASK_SHINGLES / 2
     part = F.when(pure, F.concat_ws(":", F.lit("p"), "comp", F.pmod(F.xxhash64("class"), F.ceil(F.col("comp_load") / TASK_SHINGLES)))).otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("comp"), chunks)))
-    now = scratch.save(now.withColumn("part", part).withColumn("pure", F.when(pure, F.col("comp"))), "parts")
+    now = scratch.save(now.withColumn("part", part).withColumn("pure", F.when(pure, F.col("comp"))).select("class", "cluster", "part", "pure"), "parts")
     parts = now.select("cluster", "part", "pure").distinct()
     x, y = parts.select("cluster", F.col("part").alias("p"), F.col("pure").alias("u")), parts.select("cluster", F.col("part").alias("q"), F.col("pure").alias("v"))
     pairs = x.join(y, "cluster").where("p <= q and not coalesce(u = v, false) and (p <> q or u is null)")  # chunks of a cluster, not documents
-    both = pairs.select("cluster", F.col("p").alias("part"), F.concat_ws("/", "cluster", "p", "q").alias("task")).unionByName(pairs.select("cluster", F.col("q").alias("part"), F.concat_ws("/", "cluster", "p", "q").alias("task")))
-    tasks = both.groupBy("cluster", "part").agg(F.collect_set("task").alias("tasks"))
-    last = now.join(tasks, ["cluster", "part"]).select("rep", "class", "cluster", "tasks")
-    return edges.unionByName(_run_tasks(scratch, docs, last, "across"))
+    name = F.concat_ws("/", "cluster", "p", "q").alias("task")
+    both = pairs.select("cluster", F.col("p").alias("part"), name).unionByName(pairs.select("cluster", F.col("q").alias("part"), name)).distinct()
+    last = now.join(both, ["cluster", "part"]).select("class", "cluster", "task")
+    return edges.unionByName(_tasks(scratch, sets.join(last, "class"), "across"))
 
 
 def _labelled(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -337,10 +410,12 @@ def _components(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     profile = scratch.save(docs.withColumn("mark", _mark()).mapInArrow(_profile, f"doc_id {kind}, mark long, n long, class long"), "profile")
     total = profile.agg(F.sum("n")).first()[0] or 0
-    classes = scratch.save(profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    clusters = connected_components(scratch, candidate_edges(scratch, docs, total), "cc-candidates")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")
+    classes = profile.where("n > 0").groupBy("class").agg(rep, F.max("n").alias("n"))
+    classes = scratch.save(classes.select("class", F.col("r.doc_id").alias("rep"), "r.mark", "n"), "classes")
+    clusters = connected_components(scratch, candidate_edges(scratch, docs.select("text"), total), "cc-candidates")
     members = classes.join(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
-    edges = _link_clusters(scratch, docs, members.select("rep", "class", "cluster", "n"))
+    edges = _link_clusters(scratch, docs, members.select("rep", "mark", "class", "cluster", "n"))
     linked = connected_components(scratch, edges, "cc-links").select(F.col("node").alias("class"), "root")
     linked = scratch.save(classes.join(linked, "class").select("class", "root", "rep"), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
