@@ -2,8 +2,14 @@
 
 A url is judged by the longest rule that fits it. Urls without a rule take the decision of their
 equivalence class: urls linked by redirects (meta refresh, or rows of a redirect table) and canonical
-links form connected components; a class with a blocked member blocks its members that have no rule of
-their own, unless a member is explicitly allowed, which has precedence. Everything else is allowed.
+links form connected components, and a class with a blocked member blocks all its members that have no rule of
+their own. An explicit allow has precedence for the urls that its rule fits, and for no others: were it to free
+its whole class, any page under an allow rule could free a blocked page's aliases by naming one as canonical.
+Everything else is allowed.
+
+Links are read from all canonical and refresh tags outside of comments, with character references decoded, and resolved against
+the page's base. Urls are one node if they agree in host, path (without dot segments; an empty one is /) and
+query; scheme and fragment don't count.
 
 Nulls and urls without `://` have an empty host and path, fit no rule, join no class and are allowed.
 Repeated pages are judged alike, one row each. Empty tables give empty results. Only page_id, url and
@@ -65,10 +71,38 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame
     return _match_joined(urls, urls.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string"))
 
 
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+_COMMENT = r"(?s)<!--.*?(?:-->|$)"
+_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?(?:[^"'>]*\s)?canonical\b[^>]*>"""
+_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+_BASE = r"(?is)<base\b[^>]*>"
+# The named character references that matter in urls; & is last, so that nothing is decoded twice.
+_NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not, with its references decoded; empty without one."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    code = lambda m: F.when(F.lower(m).startswith("x"), F.conv(F.substr(m, F.lit(2)), 16, 10)).otherwise(m).cast("int")
+    some = F.regexp_extract_all(value, F.lit(r"(?i)&#(x0*[0-7]?[0-9a-f]|0*(?:1[01][0-9]|12[0-7]|[0-9]{1,2}));"), F.lit(1))  # ASCII
+    value = F.aggregate(F.array_distinct(some), value, lambda v, m: F.replace(v, F.concat(F.lit("&#"), m, F.lit(";")), F.char(code(m))))
+    for reference, plain in _NAMED.items():
+        value = F.replace(value, F.lit(reference), F.lit(plain))
+    return F.regexp_replace(F.trim(F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), r"[\t\r\n]", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """path with its . and .. segments carried out, by RFC 3986; an empty path is /."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(done, part):
+        return F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+
+    # the part before the first slash is empty
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    whole = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(last.isin(".", "..") & (F.size(folded) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), whole).when(path == "", "/").otherwise(path)
 
 
 def _absolute(base: Column, target: Column) -> Column:
@@ -83,24 +117,35 @@ def _absolute(base: Column, target: Column) -> Column:
         .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .when(target.rlike(r"^[?#]"), F.concat(page, target))
+        .when(target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(page, target))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) urls of canonical links and meta refreshes in the pages' html."""
-    html = F.col("html")
-    tag = lambda k, pattern, inner: F.regexp_extract(F.regexp_extract(html, pattern, 0), inner, 1)
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select("url", F.array(tag(0, _CANONICAL, _HREF), tag(1, _REFRESH, _TARGET)).alias("targets"))
-    found = found.select("url", F.explode("targets").alias("t"))
-    return found.select(F.col("url").alias("src"), _absolute(F.col("url"), F.col("t")).alias("dst")).where("src is not null and dst is not null")
+    html = F.regexp_replace("html", _COMMENT, " ")
+    found = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull()).select("url", html.alias("html"))
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    moved = F.regexp_extract("content", r"(?is)[;,\s]url\s*=\s*(.*)$", 1)
+    quoted = F.regexp_replace(F.regexp_extract(moved, r"""(?s)^["']?([^"']*)""", 1), r"\s+$", "")
+    base = F.regexp_extract("html", _BASE, 0)
+    found = found.select("url", _absolute(F.col("url"), _attribute(base, "href")).alias("base"), F.concat(F.transform(tags(_CANONICAL), lambda t: F.struct(F.lit(True).alias("link"), t.alias("tag"))), F.transform(tags(_REFRESH), lambda t: F.struct(F.lit(False).alias("link"), t.alias("tag")))).alias("tags"))
+    found = found.select("url", "base", F.explode("tags").alias("t")).select("url", "base", "t.link", "t.tag")
+    found = found.withColumn("content", _attribute(F.col("tag"), "content"))
+    found = found.withColumn("target", F.when(F.col("link"), _attribute(F.col("tag"), "href")).otherwise(quoted))
+    return found.select(F.col("url").alias("src"), _absolute(F.coalesce("base", "url"), F.col("target")).alias("dst")).where("src is not null and dst is not null")
+
+
+def _hash(host: Column, path: Column, query: Column) -> Column:
+    return F.when(host != "", F.xxhash64(host, _without_dots(path), query))
 
 
 def _keyed(urls: DataFrame, url: str) -> DataFrame:
     host, path, query = split_url(F.col(url))
     out = urls.withColumns({"host": host, "path": path, "query": query})
-    return out.withColumn("node", F.when(F.col("host") != "", F.xxhash64("host", "path", "query"))).drop("query")
+    return out.withColumn("node", _hash(F.col("host"), F.col("path"), F.col("query"))).drop("query")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -115,8 +160,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: D
     links = edges.select(_node("src").alias("a"), _node("dst").alias("b")).where("a is not null and b is not null")
     roots = connected_components(scratch, links)
     member = nodes.select("node", "rule_verdict").join(roots, "node")
-    decided = member.groupBy("root").agg(F.bool_or(F.col("rule_verdict").eqNullSafe("block")).alias("blocked"), F.bool_or(F.col("rule_verdict").eqNullSafe("allow")).alias("allowed"))
-    blocked = scratch.save(roots.join(decided.where("blocked and not allowed"), "root").select("node").distinct(), "blocked")
+    decided = member.where("rule_verdict = 'block'").select("root").distinct()
+    blocked = scratch.save(roots.join(decided, "root").select("node").distinct(), "blocked")
     if blocked.count() <= BROADCAST_ROWS:
         blocked = F.broadcast(blocked)
     judged = match_rules(_keyed(pages.select("page_id", "url"), "url"), rules).join(blocked.withColumn("alias", F.lit(True)), "node", "left")
@@ -125,5 +170,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: D
 
 
 def _node(url: str) -> Column:
-    host, path, query = split_url(F.col(url))
-    return F.when(host != "", F.xxhash64(host, path, query))
+    return _hash(*split_url(F.col(url)))
