@@ -56,22 +56,29 @@ def hashed_share(share: Column, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < share * F.lit(float(1 << 40))
 
 
+def own_name() -> str:
+    """A column name that no table has."""
+    return f"__{uuid.uuid4().hex}"
+
+
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """left_semi or left_anti of docs by a one-column table of ids, null-safe. The ids are counted
     first: a list within BROADCAST_ROWS is broadcast, a longer one joins by shuffle."""
-    ids = ids.select(F.col(key).alias("__id")).distinct()
+    name = own_name()
+    ids = ids.select(F.col(key).alias(name)).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[key].eqNullSafe(F.col("__id")), how)
+    return docs.join(ids, docs[key].eqNullSafe(F.col(name)), how)
 
 
 def with_rows(docs: DataFrame, rows: DataFrame, how: str, mark: Column) -> DataFrame:
     """with_ids for rows: by doc_id and a mark of the text, so rows that share an id, null or not, are told apart.
     rows: doc_id, mark."""
-    rows = rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    name, other = own_name(), own_name()
+    rows = rows.select(F.col("doc_id").alias(name), F.col("mark").alias(other)).distinct()
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
-    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), how)
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col(name)) & (mark == F.col(other)), how)
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc") -> DataFrame:

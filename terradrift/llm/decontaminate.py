@@ -5,12 +5,14 @@ words; a shorter item is one shingle of all its words). A document's own MinHash
 short item inside a long text, so the sketch is taken on the item's side and sized by it: of an item
 with n shingles, any n - ceil(threshold * n) + 1 must include one that every leaking document holds, so
 the bottom-k MinHash of exactly that k finds all of them. Items are partitioned by size (powers of two);
-a partition has its own greatest sketch value, and documents drop larger hashes before the join.
+a partition has its own greatest sketch value and its own least number of shingles that a document must have, and a document
+takes part in the partitions that it is large enough for: hashes over all their bounds are dropped before the join, and
+what is left meets the sketches of those partitions only.
 Candidates are verified by counting all shingles that item and document share.
 
-Nulls: a null or empty text has no shingles and matches nothing; null ids are kept as ids. Rows that
-repeat an id count as one document (item). Empty tables give empty results. Only the id and text columns
-are read.
+Nulls: a null or empty text has no shingles and matches nothing; null ids are ids, of documents and items alike. Rows that
+repeat an id count as one document (item). drop_contaminated judges texts instead, whatever their ids: a row goes if its own
+text holds one item's text. Empty tables give empty results. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import BROADCAST_ROWS, Scratch, lower_ascii, with_ids
+from terradrift.llm.common import BROADCAST_ROWS, Scratch, lower_ascii, own_name, with_ids
 
 _SPACE = " \t\n\x0b\f\r"
+_LEAST_LONG = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -54,19 +57,20 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     """doc_id, item_id, n_item (the item's shingles), n_shared, containment, of every pair at or over threshold."""
     scratch = Scratch(docs.sparkSession, "decon")
     sets = scratch.save(item_sketches(items.select("item_id", "text"), threshold, width), "items")
-    bounds = sets.groupBy("width", "size_class").agg(F.max(F.element_at("sketch", -1)).alias("bound")).collect()  # a row a size class
+    bounds = sets.groupBy("width", "size_class").agg(F.max(F.element_at("sketch", -1)).alias("bound"), F.min("need").alias("need")).collect()  # a row a size class
     sketch = _sized(sets.select("item_id", "width", "size_class", "need", F.explode("sketch").alias("h")))
     found = None
     for w in sorted({b["width"] for b in bounds}):
         here = [b for b in bounds if b["width"] == w]
-        most = max(b["bound"] for b in here)
-        rows = shingles(docs, "doc_id", "text", w)
-        rows = rows.select("id", F.size("s").alias("size"), F.explode_outer(F.filter("s", lambda h: h <= most)).alias("h"))  # noqa: B023
+        # the partitions by the size they need; a document's bound is the greatest of those it has
+        most = F.greatest(F.lit(_LEAST_LONG), F.lit(_LEAST_LONG), *[F.when(F.col("size") >= b["need"], F.lit(b["bound"])) for b in here])
+        rows = shingles(docs, "doc_id", "text", w).select("id", F.size("s").alias("size"), "s").withColumn("most", most)
+        rows = rows.select("id", "size", F.explode_outer(F.filter("s", lambda h: h <= F.col("most"))).alias("h"))
         hits = rows.join(sketch.where(F.col("width") == w), "h").where("size >= need").select(F.col("id").alias("doc_id"), "item_id")
         found = hits if found is None else found.unionByName(hits)
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
     if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id"))]
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, n_item long, n_shared long, containment double")
     pairs = scratch.save(found.groupBy("doc_id", "item_id").agg(F.lit(1).alias("candidate")), "candidates")
     return _verify(scratch, docs, sets, pairs, threshold, sorted({b["width"] for b in bounds}))
 
@@ -76,7 +80,8 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _verify(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float, widths: list[int]) -> DataFrame:
-    wanted = sets.join(pairs.select("item_id").distinct(), "item_id", "left_semi")
+    some = pairs.select(F.col("item_id").alias("__item")).distinct()
+    wanted = sets.join(some, F.col("item_id").eqNullSafe(F.col("__item")), "left_semi")
     wanted = _sized(scratch.save(wanted.select("item_id", "n", "width", "need", F.explode("s").alias("h")), "wanted"))
     near = with_ids(docs.select("doc_id", "text"), pairs.select("doc_id"), "left_semi")
     shared = None
@@ -92,8 +97,10 @@ def _verify(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item. Each text is judged by itself, whatever its row's id."""
+    """docs without those that hold a benchmark item. Each text is judged by itself, whatever its row's or item's id."""
     scratch = Scratch(docs.sparkSession, "decon-stage")
     by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = scratch.save(contained_items(by_text, items).select(F.col("doc_id").alias("__text")).distinct(), "bad")
-    return with_ids(docs.withColumn("__text", F.xxhash64("text")), bad, "left_anti", "__text").drop("__text")
+    items = items.select(F.xxhash64("text").alias("item_id"), "text")
+    name = own_name()
+    bad = scratch.save(contained_items(by_text, items).select(F.col("doc_id").alias(name)).distinct(), "bad")
+    return with_ids(docs.withColumn(name, F.xxhash64("text")), bad, "left_anti", name).drop(name)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import Scratch, lower_ascii
+from terradrift.llm.common import Scratch, lower_ascii, own_name, with_rows
 
 #: A digest is heavy with at least 1/HEAVY_SHARE of all rows, so there are HEAVY_SHARE winners at most.
 HEAVY_SHARE = 1024
@@ -29,10 +29,11 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def heavy_hitters(rows: DataFrame, n: int) -> DataFrame:
-    """(digest, keep_id, group_size) of the digests with at least n / HEAVY_SHARE rows; HEAVY_SHARE rows at most."""
+    """(digest, keep_id, keep_row, group_size) of the digests with at least n / HEAVY_SHARE rows; HEAVY_SHARE rows at
+    most. rows: doc_id, digest, row."""
     least = max(LEAST_HEAVY, -(-n // HEAVY_SHARE))
     if n < least:
-        return rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size")).limit(0)
+        return rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(0).cast("long").alias("group_size")).limit(0)
     short = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     parts = rows.select(short.alias("short"), (F.spark_partition_id() % 64).alias("part"))
     parts = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(short, {TRACKED})").alias("s"))
@@ -40,30 +41,29 @@ def heavy_hitters(rows: DataFrame, n: int) -> DataFrame:
     top = parts.coalesce(1).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"inline(approx_top_k_estimate(s, {CANDIDATES}))"))
     top = top.where(F.col("count") >= least).select(F.col("item").alias("short"))
     found = rows.withColumn("short", short).join(F.broadcast(top), "short", "left_semi")
-    return found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where(F.col("group_size") >= least)
+    found = found.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")).where(F.col("group_size") >= least)
+    return found.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    rows = scratch.save(digests(docs, key, text), "digests")
+    # rows get a number when they are written, which tells those apart that share an id and a text
+    rows = scratch.save(digests(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "digests")
     heavy = scratch.save(heavy_hitters(rows, rows.count()).coalesce(1), "heavy")  # bounded by HEAVY_SHARE rows
-    split = rows.join(F.broadcast(heavy), "digest", "left").withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    split = split.withColumn("is_heavy", F.col("group_size").isNotNull())
-    one = Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last())
-    group = Window.partitionBy("digest")
+    split = rows.join(F.broadcast(heavy), "digest", "left")
     columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")]
-    losers = split.where("is_heavy and not best").withColumn("kept", F.lit(False))
-    winners = split.where("is_heavy and best").withColumn("kept", F.row_number().over(one) == 1)
-    rest = split.where("not is_heavy").drop("keep_id", "group_size")
-    rest = rest.withColumns({"keep_id": F.max("doc_id").over(group), "group_size": F.count(F.lit(1)).over(group), "kept": F.row_number().over(one) == 1})
-    return losers.select(columns).unionByName(winners.select(columns)).unionByName(rest.select(columns))
+    known = split.where("group_size is not null").withColumn("kept", F.col("row") == F.col("keep_row"))
+    rest = split.where("group_size is null").select("doc_id", "digest", "row")
+    group = Window.partitionBy("digest")
+    best = F.max(F.struct("doc_id", "row")).over(group)  # a null id ranks below every other
+    rest = rest.withColumns({"best": best, "group_size": F.count(F.lit(1)).over(group)})
+    rest = rest.withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("best.row") == F.col("row")})
+    return known.select(columns).unionByName(rest.select(columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of equal texts."""
-    from terradrift.llm.common import with_rows
-
     scratch = Scratch(docs.sparkSession, "dedup-stage")
     mark = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
     found = scratch.save(exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept"), "found")
@@ -73,5 +73,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     # equal texts of one id
-    repeated = with_rows(left, again, "left_semi", mark).withColumn("__same", mark).dropDuplicates(["doc_id", "__same"])
-    return with_rows(left, again, "left_anti", mark).unionByName(repeated.drop("__same"))
+    name = own_name()
+    repeated = with_rows(left, again, "left_semi", mark).withColumn(name, mark).dropDuplicates(["doc_id", name])
+    return with_rows(left, again, "left_anti", mark).unionByName(repeated.drop(name))

@@ -29,7 +29,7 @@ def test_against_brute_force(make, corpus):
 def test_heavy_digests_are_split(make, spark, monkeypatch):
     monkeypatch.setattr(D, "LEAST_HEAVY", 10)
     rows = [(i, "Same text") for i in range(400)] + [(400 + i, f"other {i % 150}") for i in range(300)] + [(399, "same TEXT"), (None, "same text")]
-    df = D.digests(make(rows))
+    df = D.digests(make(rows)).selectExpr("*", "monotonically_increasing_id() as row")
     assert D.heavy_hitters(df, len(rows)).count() == 1
     got = D.exact_dedup(make(rows).repartition(5)).collect()
     heavy = [r for r in got if r["group_size"] == 402]
@@ -37,6 +37,19 @@ def test_heavy_digests_are_split(make, spark, monkeypatch):
     assert sum(r["kept"] for r in got) == 151
 
 
+def test_heavy_rows_of_one_id_or_none(make, monkeypatch):
+    """Rows that agree in id and text are told apart by their place, not by a window over all of them."""
+    monkeypatch.setattr(D, "LEAST_HEAVY", 10)
+    for ids in ([None] * 300, [5] * 300, [None, 5] * 150):
+        got = D.exact_dedup(make([(i, "Same") for i in ids] + [(9, "other"), (None, None), (None, "")])).collect()
+        same = [r for r in got if r["group_size"] == 300]
+        assert len(same) == 300 and sum(r["kept"] for r in same) == 1
+        assert {r["keep_id"] for r in same} == {max((i for i in ids if i is not None), default=None)}
+        assert all(r["doc_id"] == r["keep_id"] for r in same if r["kept"]) and sum(r["kept"] for r in got) == 3
+    plan = D.exact_dedup(make([(1, "x")] * 50))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") <= 2  # of the light rows alone
+
+
 def test_many_empty_partitions_and_empty_table(make):
     assert D.exact_dedup(make([(i, "x") for i in range(200)]).repartition(50)).where("kept").count() == 1
     assert D.exact_dedup(make([])).collect() == []
