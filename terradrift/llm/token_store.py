@@ -2,21 +2,22 @@
 
 Shards. Documents are range-partitioned and sorted by doc_id; each partition encodes its texts and writes
 one shard: a header, the raw ids (uint16 where the vocabulary allows, else uint32; little-endian), then a
-footer with the documents' keys and offsets. A shard is written under a name of its attempt and renamed,
+footer with the documents' keys and lengths. A shard is written under a name of its attempt and renamed,
 so a task that runs twice leaves one file. The manifest (one row a shard) gives each shard its first
-global position.
+global position, a running sum over blocks of shards.
 
 Index. Keys are dealt into buckets by hash; each bucket gets a minimal perfect hash: level after level,
 keys that alone claim a bit keep it, the rest go on to the next level, and a key's slot is the rank of its
-bit. A slot holds a fingerprint of 32 bits, the shard, the offset and the length. A lookup takes one bit
+bit. A slot holds a fingerprint of 32 bits, the shard, the offset, the length, and for an id of several rows their number
+and the last shard that has some. A lookup takes one bit
 probe a level (under two on average), one rank and one fingerprint check, whatever the number of keys; an
 absent key passes the check with probability 2**-32.
 
 Paths with a file: scheme, or none, are read and written by the operating system, others by pyarrow's
 file systems. Nulls: a null text is empty and has only the end id; a null doc_id sorts first and is found
-under NULL_KEY. Rows that repeat a doc_id are adjacent in one shard; the index finds the first, and the
-count of such rows tells how many follow. Empty table: no shard, empty result. Ids of other types than
-integers are not keys.
+under NULL_KEY, which is therefore refused as an id. Rows that repeat a doc_id follow each other, over as many shards
+as they need, so that no id makes a shard larger; the index finds the first, and each shard's
+part of them is read on its own. Empty table: no shard, empty result. Ids of other types than integers are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import os
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terradrift.llm.common import Scratch, blocks, hash_ranges, mix, utf8
@@ -118,7 +119,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are found anywhere in a text, so texts that hold one are encoded whole.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self._forget()
@@ -157,6 +159,12 @@ class Encoder:
         after[alone[1:]] = True
         odd = np.concatenate([[0], np.cumsum(gap & (before | after) | odd_spaces(data))])
         simple = (odd[at[1:]] == odd[at[:-1]]) & (self.line is not None)
+        raw = data.tobytes() if self.added else b""
+        for token in self.added:
+            place = raw.find(token)
+            while place >= 0:
+                simple[int(np.searchsorted(at, place, "right")) - 1] = False
+                place = raw.find(token, place + 1)
         mark = np.zeros(n, bool)
         mark[1:] = _MARK[data[1:]] & _WORD_END[data[:-1]]
         cut = alone[:n] | gap | mark & after
@@ -334,15 +342,17 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(_hashed(keys) ^ _U(0xB0C4E7)) % _U(buckets)).astype(np.int32)
 
 
-_ENTRY = np.dtype([("print", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("rows", "<i4")])
+_ENTRY = np.dtype([("print", "<u4"), ("shard", "<i4"), ("last", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("rows", "<i8")])
+_FIELDS = ("shard", "last", "offset", "n", "rows")
 
 
-def write_bucket(path: str, attempt: str, keys: np.ndarray, shard, offset, n, rows) -> None:
+def write_bucket(path: str, attempt: str, keys: np.ndarray, **fields: np.ndarray) -> None:
+    """fields: an array for each of _FIELDS."""
     h = _hashed(keys)
     table = PerfectHash.build(h)
     entry = np.zeros(len(keys), _ENTRY)
     slot = table.slots(h)
-    for name, value in (("print", (h >> _U(32)).astype(np.uint32)), ("shard", shard), ("offset", offset), ("n", n), ("rows", rows)):
+    for name, value in {"print": (h >> _U(32)).astype(np.uint32), **fields}.items():
         entry[name][slot] = value
     write_file(path, attempt, [table.to_bytes(), entry.tobytes()])
 
@@ -373,7 +383,7 @@ class TokenStore:
         self.spark, self.root, self.buckets, self.manifest = spark, root, buckets, manifest
 
     def locate(self, keys: DataFrame) -> DataFrame:
-        """key -> key, shard, offset, n, rows through the index; keys that the store lacks give no row."""
+        """key -> key, shard, last, offset, n, rows through the index; keys that the store lacks give no row."""
         root, buckets = self.root, self.buckets
 
         def look(pdf):
@@ -383,11 +393,11 @@ class TokenStore:
             try:
                 find = read_bucket(f"{root}/index/{int(pdf['bucket'].iloc[0]):06d}")
             except FileNotFoundError:  # no key fell there
-                return pd.DataFrame({"key": k[:0], "shard": k[:0], "offset": k[:0], "n": k[:0], "rows": k[:0]})
+                return pd.DataFrame({"key": k[:0]} | {f: k[:0] for f in _FIELDS})
             got, ok = find(k)
-            return pd.DataFrame({"key": k, "shard": got["shard"], "offset": got["offset"], "n": got["n"], "rows": got["rows"]})[ok]
+            return pd.DataFrame({"key": k} | {f: got[f].astype(np.int64) for f in _FIELDS})[ok]
 
-        return _with_bucket(keys, buckets).groupBy("bucket").applyInPandas(look, "key long, shard long, offset long, n long, rows long")
+        return _with_bucket(keys, buckets).groupBy("bucket").applyInPandas(look, "key long, " + ", ".join(f"{f} long" for f in _FIELDS))
 
     def read(self, keys: DataFrame, digest) -> DataFrame:
         """digest(ids uint32 array) -> long, of every document found; columns key, shard, offset, n, digest."""
@@ -396,31 +406,32 @@ class TokenStore:
         def fetch(pdf):
             import pandas as pd
 
-            pdf = pdf.sort_values("offset")
-            out = []
+            pdf = pdf.sort_values(["first", "offset"])
+            out, footer = [], None
             with open_file(f"{root}/shards/{int(pdf['shard'].iloc[0]):06d}.ids") as f:
-                for key, shard, offset, n, rows in pdf[["key", "shard", "offset", "n", "rows"]].itertuples(index=False):
-                    at = offset
-                    for r in range(rows):  # rows that repeat an id follow each other; an end id closes each
-                        if rows == 1:
-                            ids = read_ids(f, at, n)
-                        else:
-                            n_here = _length_at(f, shard, at)
-                            ids = read_ids(f, at, n_here)
+                for key, shard, offset, n, rows, first in pdf[["key", "shard", "offset", "n", "rows", "first"]].itertuples(index=False):
+                    if rows == 1:
+                        spans = [(offset, n)]
+                    else:  # the rows of the id in this shard, which is sorted by it
+                        footer = footer or _footer(f)
+                        i, j = np.searchsorted(footer[0], key, "left"), np.searchsorted(footer[0], key, "right")
+                        spans = zip(footer[1][i:j].tolist(), footer[2][i:j].tolist(), strict=True)
+                    for at, size in spans:
+                        ids = read_ids(f, at, size)
                         out.append((key, shard, at, len(ids), digest(ids.astype("<u4"))))
-                        at += len(ids)
             return pd.DataFrame(out, columns=["key", "shard", "offset", "n", "digest"])
 
-        return self.locate(keys).groupBy("shard").applyInPandas(fetch, "key long, shard long, offset long, n long, digest long")
+        found = self.locate(keys).select("key", F.explode(F.sequence("shard", "last")).alias("shard"), "offset", "n", "rows", F.col("shard").alias("first"))
+        return found.groupBy("shard").applyInPandas(fetch, "key long, shard long, offset long, n long, digest long")
 
 
-def _length_at(file, shard: int, offset: int) -> int:
-    """Length of the document that begins at offset, from the shard's footer."""
+def _footer(file) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, offsets and lengths of an open shard's documents."""
     file.seek(len(MAGIC))
-    size, tokens, docs, _ = np.frombuffer(file.read(32), "<i8")
-    file.seek(int(HEADER_BYTES + tokens * size + docs * 8))
-    lengths = np.frombuffer(file.read(int(docs) * 8), "<i8")
-    return int(lengths[np.searchsorted(np.cumsum(lengths) - lengths, offset)])
+    size, tokens, docs, _ = (int(x) for x in np.frombuffer(file.read(32), "<i8"))
+    file.seek(HEADER_BYTES + tokens * size)
+    keys, lengths = np.frombuffer(file.read(docs * 16), "<i8").reshape(2, docs)
+    return keys, np.cumsum(lengths) - lengths, lengths
 
 
 def _with_bucket(keys: DataFrame, buckets: int) -> DataFrame:
@@ -440,8 +451,14 @@ def write_store(docs: DataFrame, tokenizer: str, root: str | None = None) -> Tok
     ship(spark)
     scratch = Scratch(spark, "tokens")
     root = (root or scratch.root).rstrip("/")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text")
-    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("document ids must be integers")
+    # rows of one id are told apart by where the scan has them, so that their range can be split
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), "text", F.monotonically_increasing_id().alias("row"))
+    reserved = F.count_if(docs["doc_id"].cast("long") == NULL_KEY)
+    count, size, reserved = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), reserved).first()
+    if reserved:
+        raise ValueError(f"{NULL_KEY} stands for null and can't be an id")
     parts, buckets = max(1, -(-size // SHARD_BYTES)), max(1, -(-count // BUCKET_KEYS))
 
     def shard(batches):
@@ -460,27 +477,35 @@ def write_store(docs: DataFrame, tokenizer: str, root: str | None = None) -> Tok
         lengths = write_shard(f"{root}/shards/{number:06d}.ids", attempt, coder.dtype, keys, payloads)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), number)), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)], ["key", "shard", "offset", "n"])
 
-    ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
+    ordered = rows.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").select("key", "text")
     entries = scratch.save(ordered.mapInArrow(shard, "key long, shard long, offset long, n long"), "entries")
-    shards = entries.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens")).orderBy("shard").collect()  # a row a shard
-    start, manifest = 0, []
-    for s in shards:
-        manifest.append((s["shard"], s["n_docs"], s["n_tokens"], start))
-        start += s["n_tokens"]
-    first = entries.groupBy("key", "shard").agg(F.min("offset").alias("offset"), F.sum("n").alias("n"), F.count("*").cast("int").alias("rows"))
+    manifest = scratch.save(_running(entries.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))), "manifest")
+    at = F.min(F.struct("shard", "offset", "n")).alias("at")
+    first = entries.groupBy("key").agg(at, F.max("shard").alias("last"), F.count("*").alias("rows"))
+    first = first.select("key", "at.shard", "last", "at.offset", "at.n", "rows")
 
     def index(pdf):
         import pandas as pd
         from pyspark import TaskContext
 
         bucket = int(pdf["bucket"].iloc[0])
-        write_bucket(f"{root}/index/{bucket:06d}", f"a{TaskContext.get().taskAttemptId()}", pdf["key"].to_numpy(np.int64), *(pdf[c].to_numpy() for c in ("shard", "offset", "n", "rows")))
+        write_bucket(f"{root}/index/{bucket:06d}", f"a{TaskContext.get().taskAttemptId()}", pdf["key"].to_numpy(np.int64), **{c: pdf[c].to_numpy() for c in _FIELDS})
         return pd.DataFrame({"bucket": [bucket], "keys": [len(pdf)]})
 
     built = scratch.save(_with_bucket(first, buckets).groupBy("bucket").applyInPandas(index, "bucket int, keys long"), "built")
     if (built.agg(F.sum("keys")).first()[0] or 0) > count:
         raise RuntimeError("the index has more keys than rows")
-    return TokenStore(spark, root, buckets, spark.createDataFrame(manifest, "shard long, n_docs long, n_tokens long, start long"))
+    return TokenStore(spark, root, buckets, manifest)
+
+
+def _running(shards: DataFrame, block: int = 4096) -> DataFrame:
+    """shards with start, the tokens of all shards before it: summed within blocks of shards and over the blocks."""
+    shards = shards.withColumn("block", F.floor(F.col("shard") / block))
+    within, before = Window.partitionBy("block").orderBy("shard"), Window.orderBy("block")
+    blocks_ = shards.groupBy("block").agg(F.sum("n_tokens").alias("all"))
+    blocks_ = blocks_.select("block", (F.sum("all").over(before) - F.col("all")).alias("ahead"))  # a row for block shards
+    out = shards.join(blocks_, "block").withColumn("start", F.col("ahead") + F.sum("n_tokens").over(within) - F.col("n_tokens"))
+    return out.select("shard", "n_docs", "n_tokens", "start")
 
 
 def stored_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -489,6 +514,6 @@ def stored_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     store = write_store(docs, tokenizer)
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
     found = store.read(keys, lambda ids: zlib.crc32(ids.tobytes()))
-    out = found.join(F.broadcast(store.manifest.select("shard", F.col("start").alias("first"))), "shard")  # a row a shard
+    out = found.join(store.manifest.select("shard", F.col("start").alias("first")), "shard")
     key = F.when(F.col("key") != NULL_KEY, F.col("key"))
     return out.select(key.alias("doc_id"), (F.col("first") + F.col("offset")).alias("start"), F.col("n").alias("n_tokens"), F.col("digest").alias("ids_crc32"))
