@@ -47,9 +47,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the setting terradrift.pii.key; without one, a new one each time, so that its pseudonyms are linked within
+    the result only."""
+    import secrets
+
     from terradrift.llm.pii import report
 
-    return report(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("terradrift.pii.key", None) or secrets.token_hex(32)
+    return report(table(spark, sf_dir, "documents"), key)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
