@@ -3,6 +3,12 @@
 toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination and SentencePiece encoding, in this
 order. Each stage judges all that its predecessor kept; the first four return the columns of documents,
 the last doc_id and ids.
+
+Rows are judged by their text, so null ids and ids that several rows share make no difference: a row goes
+for its own text alone, and of rows that agree in id and text, as of other copies, one stays. Null and
+empty texts are equal to the exact dedup, hold no item, link with nothing and have no ids. Without labels no row is toxic,
+without benchmark items none is contaminated, and without documents the result is empty. Columns of documents pass
+through, whatever their names.
 """
 
 from __future__ import annotations
