@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from terradrift.operators import clusters
+from terradrift.operators import dbscan as D
 from terradrift.operators.dbscan import dbscan
 
 
@@ -46,6 +47,42 @@ def test_inclusive_chain_dense_cell_and_contested_border(spark):
     assert (got == sequential(x, 100, 5)).all()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_places(spark, seed, monkeypatch):
+    """Dense cells that only a few far corners join, shells just beyond reach, and copies of one place."""
+    monkeypatch.setattr(D, "FEW_PAIRS", 9)
+    monkeypatch.setattr(D, "MANY_OPEN", 0 if seed == 1 else 200_000)
+    rng = np.random.default_rng(seed)
+    blob = lambda x, y, n, w: np.column_stack([rng.uniform(x, x + w, n), rng.uniform(y, y + w, n), rng.normal(0, 0.2, n)])
+    ring = lambda r, n: np.column_stack([r * np.cos(a := rng.uniform(0, 2 * np.pi, n)), r * np.sin(a), np.zeros(n)])
+    p = [blob(0, 0, 200, 60), blob(150, 0, 200, 40), blob(240, 5, 150, 30), blob(3000, 3000, 250, 400)]
+    p += [np.array([[9000.0, 9000.0, 0.0]] * 40), np.array([[9100.0, 9000.0, 0.0]] * 40), np.array([[9200.0, 9000.001, 0.0]] * 40)]
+    p += [ring(20, 120) + [20000, 20000, 0], ring(130, 300) + [20000, 20000, 0], ring(235, 300) + [20000, 20000, 0]]
+    p = np.concatenate(p).round(3)
+    rows = spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(p)], "idx long, e double, n double, v double")
+    for least in (3, 5, 30):
+        got = np.array([r["label"] for r in dbscan(rows, 100, 3, least).orderBy("idx").collect()])
+        assert (got == sequential(p * [1, 1, 100 / 3], 100, least)).all(), least
+
+
+def test_a_crowded_cell_costs_its_size(spark, monkeypatch):
+    """Fifty thousand points in one place and some around it: no table of pairs grows with their square."""
+    written = {}
+
+    class Counted(D.Stage):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            written[name] = out.count()
+            return out
+
+    monkeypatch.setattr(D, "Stage", Counted)
+    df = spark.range(50_000).selectExpr("id as idx", "(id * 7919 % 9973) / 100.0D as e", "(id * 104729 % 9949) / 100.0D as n", "(id % 7) * 0.01D as v")
+    df = df.unionByName(spark.range(60).selectExpr("id + 100000 as idx", "100.0D + id * 3 as e", "50.0D as n", "0.0D as v"))
+    got = dbscan(df, 100, 3, 5)
+    assert [(r["label"], r["count"]) for r in got.groupBy("label").count().collect()] == [(0, 50_060)]
+    assert max(n for name, n in written.items() if name not in ("points", "core", "numbers", "lone")) < 20_000, written
+
+
 def test_velocity_separates(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 3.0), (3, 0.0, 0.0, 6.1)], "idx long, e double, n double, v double")
     assert [r["label"] for r in dbscan(df, 100, 3, 2).orderBy("idx").collect()] == [0, 0, -1]

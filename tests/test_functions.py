@@ -78,3 +78,18 @@ def test_point_geometry_and_geojson(spark):
     feature = json.loads(G.feature_rows(shape).first()[0])
     assert feature["properties"] == {"name": "a"} and len(feature["geometry"]["coordinates"][0]) == 4
     assert np.allclose(feature["geometry"]["coordinates"][0][0], (10, 52))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from terradrift.tables import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    for master, fails in (("local[4]", False), ("spark://host:7077", True), ("local-cluster[2,1,1024]", True)):
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared_folder(fake)
+        else:
+            assert shared_folder(fake).startswith("file:///")
