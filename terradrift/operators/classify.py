@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from terradrift import schema
 from terradrift.schema import FEATURES
+from terradrift.tables import Stage, quantiles
 
 KEY = ("source_file", "pid")
 
 
+# The limits of the rules and flags.
 @dataclass(frozen=True)
 class Thresholds:
     v_stable: float = 2.5
@@ -70,19 +72,13 @@ def eligible(points: DataFrame, min_coherence: float = 0.5, min_velocity: float
 
 def eligibility(points: DataFrame, min_coherence: float = 0.5, min_velocity: float = 0.0) -> DataFrame:
     """Counts, quartiles and warnings of the thresholds, one row."""
-    coh, vel = F.col("temporal_coherence").cast("double"), F.abs(F.col("mean_velocity")).cast("double")
-    ok = yes((coh >= min_coherence) & (vel >= min_velocity))
-    quarter = lambda c, q: F.percentile(c, F.lit(q))
-    out = points.agg(
-        F.count("*").alias("n"),
-        F.count_if(ok).alias("n_eligible"),
-        F.min(coh).alias("coh_min"),
-        F.max(coh).alias("coh_max"),
-        *[quarter(coh, q).alias(f"coh_p{int(100 * q)}") for q in (0.25, 0.5, 0.75)],
-        F.min(vel).alias("vel_min"),
-        F.max(vel).alias("vel_max"),
-        *[quarter(vel, q).alias(f"vel_p{int(100 * q)}") for q in (0.25, 0.5, 0.75)],
-    )
+    rows = points.select(F.col("temporal_coherence").cast("double").alias("coh"), F.abs(F.col("mean_velocity")).cast("double").alias("vel"))
+    ok = yes((F.col("coh") >= min_coherence) & (F.col("vel") >= min_velocity))
+    out = rows.agg(F.count("*").alias("n"), F.count_if(ok).alias("n_eligible"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("coh", "vel") for f in (F.min, F.max)])
+    quarters = (0.25, 0.5, 0.75)
+    q = quantiles(Stage(points.sparkSession, "eligibility"), rows, [], ["coh", "vel"], quarters)
+    shown = [F.try_element_at(F.first(c), F.lit(k + 1)).alias(f"{c}_p{int(100 * x)}") for c in ("coh", "vel") for k, x in enumerate(quarters)]
+    out = out.crossJoin(F.broadcast(q.agg(*shown)))  # single rows
     pct = 100.0 * F.try_divide(F.col("n_eligible"), F.col("n"))
     return out.withColumns({"pct_eligible": pct, "coherence_high": yes(F.lit(min_coherence) > 0.85 * F.col("coh_max")), "few_eligible": yes(pct < 1.0)})
 
@@ -157,10 +153,21 @@ def flag_distribution(labels: DataFrame) -> DataFrame:
 
 def robust_scale(rows: DataFrame, features: list[str]) -> DataFrame:
     """features centred on the median and divided by the interquartile range (1 where that is 0), per file."""
-    q = rows.groupBy("source_file").agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{f}") for f in features])
-    out = rows.join(q, "source_file")
+    q = quantiles(Stage(rows.sparkSession, "scale"), rows, ["source_file"], features, (0.25, 0.5, 0.75))
+    q = q.select("source_file", *[F.col(f).alias(f"__{f}") for f in features])
+    out = rows.join(q, "source_file", "left")
     scaled = {}
     for f in features:
-        spread = F.col(f"__{f}")[2] - F.col(f"__{f}")[0]
-        scaled[f] = (F.col(f) - F.col(f"__{f}")[1]) / F.when(spread == 0, 1.0).otherwise(spread)
+        at = lambda k: F.get(F.col(f"__{f}"), F.lit(k))  # noqa: B023, E731
+        spread = at(2) - at(0)
+        scaled[f] = (F.col(f) - at(1)) / F.when(spread == 0, 1.0).otherwise(spread)
     return out.withColumns(scaled).drop(*[f"__{f}" for f in features])
+
+
+def top_two(probabilities: Column, names: tuple[str, ...] = schema.CLASSES) -> Column:
+    """struct(class_1, class_2, class_prob_1) of an array with a probability a class; of equal ones the class that is listed
+    first, and the sum is taken as one."""
+    total = F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x)
+    order = F.array_sort(F.transform(probabilities, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
+    name = lambda k: F.get(F.array(*map(F.lit, names)), F.get(order, F.lit(k))["i"])
+    return F.struct(name(0).alias("class_1"), name(1).alias("class_2"), (-F.get(order, F.lit(0))["p"] / F.when(total == 0, 1.0).otherwise(total)).alias("class_prob_1"))

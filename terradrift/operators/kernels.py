@@ -1,7 +1,7 @@
 """All eighteen features of many series at once, in NumPy over Arrow batches.
 
-Series of one file share their dates, so a batch is one matrix; least squares with missing values are
-solved as a stack of normal equations. The SQL path gives the same values for the features it has."""
+Series of one file share their dates, so a batch is one matrix, made of its Arrow list column at once; least squares
+with missing values are solved as a stack of normal equations. The SQL path gives the same values for the features it has."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import datetime as dt
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terradrift.schema import FEATURES
 from terradrift.ship import ship
@@ -110,27 +111,75 @@ def features(y: np.ndarray, days: np.ndarray, jump_mm: float = 5.0) -> np.ndarra
     return out
 
 
+_SCHEMA = "source_file string, pid string, n_valid long, " + ", ".join(f"{f} double" for f in FEATURES)
+
+
+def _matrix(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an Arrow list column of one length as a matrix, NaN for null, and the rows that are lists of that length
+    (the most frequent one's)."""
+    import pyarrow as pa
+
+    sizes = np.diff(lists.offsets.to_numpy())
+    ok = ~lists.is_null().to_numpy(zero_copy_only=False)
+    width = np.bincount(sizes[ok]).argmax() if ok.any() else 0
+    rows = np.flatnonzero(ok & (sizes == width))
+    flat = lists.take(pa.array(rows)).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(rows), width), rows
+
+
+def _computed(batch, values, rows: np.ndarray, days: np.ndarray, jump_mm: float):
+    import pyarrow as pa
+
+    f = features(values, days, jump_mm)
+    keys = batch.select(["source_file", "pid"]).take(pa.array(rows))
+    columns = [*keys.columns, pa.array(np.isfinite(values).sum(1))] + [pa.array(np.ascontiguousarray(c), from_pandas=True) for c in f.T]
+    return pa.RecordBatch.from_arrays(columns, ["source_file", "pid", "n_valid", *FEATURES])
+
+
+def wide_features(wide: DataFrame, jump_mm: float = 5.0) -> DataFrame:
+    """source_file, pid, n_valid and the features of a wide table, whose dates are its YYYYMMDD columns. Each row becomes an array
+    where it is read, so nothing is shuffled. Tables with fewer than LEAST_DATES dates give no rows."""
+    from terradrift.functions.scalars import finite
+
+    ship(wide.sparkSession)
+    dates = sorted(c for c in wide.columns if len(c) == 8 and c.isdigit())
+    days = np.array([dt.datetime.strptime(d, "%Y%m%d").date().toordinal() - dt.date(1970, 1, 1).toordinal() for d in dates])
+    if len(dates) < LEAST_DATES:
+        return wide.sparkSession.createDataFrame([], _SCHEMA)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                values, rows = _matrix(batch["values"])
+                yield _computed(batch, values.astype(float), rows, days, jump_mm)
+
+    arrays = wide.select("source_file", "pid", F.array(*[finite(F.col(d)).cast("double") for d in dates]).alias("values"))
+    return arrays.mapInArrow(run, _SCHEMA)
+
+
 def kernel_features(arrays: DataFrame, jump_mm: float = 5.0) -> DataFrame:
-    """source_file, pid, n_valid and the features of rows with dates and values arrays. Files with fewer than
-    LEAST_DATES dates give no rows."""
+    """The same of rows with dates and values arrays, which may differ in their dates. Rows with fewer than LEAST_DATES dates are
+    left out."""
     ship(arrays.sparkSession)
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            pdf = pdf[[len(d) >= LEAST_DATES for d in pdf["dates"]]]
-            axis = [tuple(d) for d in pdf["dates"]]
-            for key in dict.fromkeys(axis):
-                rows = pdf[[a == key for a in axis]]
-                days = np.array([(d - dt.date(1970, 1, 1)).days for d in key])
-                y = np.array([np.asarray(v, float) for v in rows["values"]])
-                f = features(y, days, jump_mm)
-                out = pd.DataFrame(f, columns=list(FEATURES)).astype(object).where(~np.isnan(f), None)
-                out.insert(0, "n_valid", np.isfinite(y).sum(1))
-                out.insert(0, "pid", rows["pid"].to_numpy())
-                out.insert(0, "source_file", rows["source_file"].to_numpy())
-                yield out
-
-    schema = "source_file string, pid string, n_valid long, " + ", ".join(f"{f} double" for f in FEATURES)
-    return arrays.select("source_file", "pid", "dates", "values").mapInPandas(run, schema)
+        import pyarrow as pa
+
+        for batch in batches:
+            left = batch
+            while len(left):
+                days, rows = _matrix(left["dates"].cast(pa.list_(pa.int32())))
+                if not len(rows):
+                    break
+                alike = rows[(days == days[0]).all(1)] if days.shape[1] else rows
+                if not len(alike):  # a missing date
+                    alike, days = rows, days[:, :0]
+                part = left.take(pa.array(alike))
+                values, here = _matrix(part["values"])
+                if days.shape[1] >= LEAST_DATES and values.shape[1] == days.shape[1]:
+                    yield _computed(part, values.astype(float), here, days[0].astype(int), jump_mm)
+                rest = np.ones(len(left), bool)
+                rest[alike] = False
+                left = left.filter(pa.array(rest))
+
+    return arrays.select("source_file", "pid", "dates", "values").mapInArrow(run, _SCHEMA)

@@ -55,6 +55,7 @@ NO_COLOR = "#cccccc"
 # Grid cell in degrees by zoom level; a higher zoom counts as the last, an unknown one as 1e-5.
 CELL_DEGREES = (4.0, 2.0, 1.0, 0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.008, 0.004, 0.002, 0.001, 0.0005, 0.0001, 0.00001)
 
+# The features of a series in order.
 FEATURES = (
     "v_robust",
     "v_first_half",

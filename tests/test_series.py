@@ -6,7 +6,8 @@ import pytest
 from terradrift.operators import classify as C
 from terradrift.operators import mixture as M
 from terradrift.operators import series
-from terradrift.operators.kernels import decimal_years, features, kernel_features
+from terradrift import tables
+from terradrift.operators.kernels import decimal_years, features, kernel_features, wide_features
 from terradrift.schema import FEATURES
 
 START = dt.date(2019, 1, 5)
@@ -96,12 +97,85 @@ def test_few_dates_give_no_rows(spark):
     assert kernel_features(series.to_arrays(long)).count() == 0
 
 
+def test_wide_rows_need_no_shuffle(spark):
+    """The kernel on a wide table gives what it gives on arrays made of long rows, in the scan's own stage."""
+    rng = np.random.default_rng(4)
+    values = {f"p{k}": np.where(rng.random(30) < 0.1, np.nan, rng.normal(0, 3, 30).cumsum()) for k in range(25)} | {"short": np.full(30, np.nan)}
+    long = long_rows(spark, values)
+    dates = sorted({r[0].strftime("%Y%m%d") for r in long.select("acq_date").distinct().collect()})
+    wide = series.to_wide(long, dates)
+    rows = [tuple(r) for r in wide.select("source_file", "pid", *dates).collect()]
+    wide = spark.createDataFrame(rows, "source_file string, pid string, " + ", ".join(f"`{d}` float" for d in dates))
+    got = {r["pid"]: r for r in wide_features(wide).collect()}
+    want = {r["pid"]: r for r in kernel_features(series.to_arrays(series.to_long(wide))).collect()}
+    assert got.keys() == want.keys() == values.keys()
+    for p, row in got.items():
+        for name, a in row.asDict().items():
+            b = want[p][name]
+            assert a == b or isinstance(a, float) and abs(a - b) < 1e-9 * max(1, abs(b)), (p, name)
+    assert "Exchange" not in wide_features(wide)._jdf.queryExecution().executedPlan().toString()
+    assert wide_features(wide.select("source_file", "pid", *dates[:19])).count() == 0
+
+
+def test_arrays_of_differing_dates_in_one_batch(spark):
+    a = long_rows(spark, {"a": np.arange(30.0), "b": np.arange(30.0) ** 1.5})
+    b = long_rows(spark, {"c": np.arange(25.0) * 2})
+    arrays = series.to_arrays(a).unionByName(series.to_arrays(b)).coalesce(1)
+    got = {r["pid"]: (r["n_valid"], round(r["velocity_r2"], 3)) for r in kernel_features(arrays).collect()}
+    assert got["a"] == (30, 1.0) and got["c"] == (25, 1.0) and got["b"][0] == 30
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Against NumPy, with ties, nulls, groups of one row, and a coarse sketch."""
+    monkeypatch.setattr(tables, "ACCURACY", 40)
+    rng = np.random.default_rng(6)
+    rows = [("a", float(v), float(rng.integers(0, 3))) for v in rng.normal(0, 5, 5000)] + [("b", float(v), None) for v in range(7)] + [("c", 1.5, 2.5)] + [("a", None, None)] * 20
+    df = spark.createDataFrame(rows, "source_file string, u double, w double").repartition(5)
+    got = {r["source_file"]: r for r in tables.quantiles(tables.Stage(spark, "q"), df, ["source_file"], ["u", "w"], (0.25, 0.5, 0.9)).collect()}
+    for f in "abc":
+        for k, c in enumerate("uw"):
+            v = [r[k + 1] for r in rows if r[0] == f and r[k + 1] is not None]
+            assert not v and not got[f][c] or np.allclose(got[f][c], np.quantile(v, [0.25, 0.5, 0.9]), rtol=1e-12), (f, c)
+    whole = tables.quantiles(tables.Stage(spark, "q"), df, [], ["u"], (0.5,)).collect()
+    assert np.allclose(whole[0]["u"], [np.median([r[1] for r in rows if r[1] is not None])])
+
+
+def test_mixture_over_all_rows_of_a_large_file(spark):
+    """Distributed passes end where passes over all rows in one place end, and the starts' sample doesn't decide."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in ((-6, 0.5, 900), (0, 1.0, 600), (5, 0.7, 60))])
+    rows = [("big", str(i), float(v[0]), float(v[1])) for i, v in enumerate(x)] + [("small", str(i), float(v[0]), float(v[1])) for i, v in enumerate(x[::20])]
+    df = spark.createDataFrame(rows, "source_file string, pid string, u double, w double").repartition(6)
+    got = {r["source_file"]: r for r in M.fitted(df, ["u", "w"], 3, local_rows=300).collect()}
+    assert got["big"]["done"] and got["small"]["done"]
+    w, m, c = np.array(got["big"]["weights"]), np.array(got["big"]["means"]).reshape(-1, 2), np.array(got["big"]["covs"]).reshape(-1, 2, 2)
+    score = M.responsibilities(x, w, m, c)[1]
+    assert abs(score - got["big"]["score"]) < 1e-9
+    best = M.fit(x, 3)
+    assert score > M.responsibilities(x, *best[:3])[1] - 0.01
+    order, ours = np.argsort(best[1][:, 0]), np.argsort(m[:, 0])
+    assert np.allclose(best[1][order], m[ours], atol=0.05) and abs(w[ours][2] - 60 / 1560) < 0.005  # the small component is whole
+    labels = M.classify_residual(df, ["u", "w"], 3, local_rows=300).where("source_file = 'big'").groupBy("class_1").count().collect()
+    assert sorted(r["count"] for r in labels)[0] > 50
+
+
+def test_sums_of_parts_give_the_whole_step():
+    rng = np.random.default_rng(2)
+    x, means = rng.normal(0, 2, (500, 3)), rng.normal(0, 1, (4, 3))
+    r = rng.dirichlet(np.ones(4), 500)
+    whole = M.maximised(*M.sums(x, r, means), means, "full", 1e-3)
+    parts = [M.sums(x[i::7], r[i::7], means) for i in range(7)]
+    again = M.maximised(*(sum(p) for p in zip(*parts, strict=True)), means, "full", 1e-3)
+    assert all(np.allclose(a, b) for a, b in zip(whole, again, strict=True))
+    assert np.allclose(whole[1], (r.T @ x) / r.sum(0)[:, None])
+
+
 def test_mixture_properties(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.3, (80, 2)) for c in (-4, 0, 4)])
     best, weights, means, covs, history = M._fit_once(x, 3, "full", 1e-3, np.random.default_rng(3))
     assert all(b >= a - 1e-9 for a, b in zip(history, history[1:], strict=False))
-    p, _ = M.responsibilities(x, *M.fit(x, 3))
+    p, _ = M.responsibilities(x, *M.fit(x, 3)[:3])
     assert np.allclose(p.sum(1), 1) and len(set(p.argmax(1)[:80])) == 1 and len(set(p.argmax(1))) == 3
     assert [M.components(n, 5, 18) for n in (25, 200, 450, 10_000)] == [2, 2, 5, 5]
     rows = [("a", str(i), float(v[0]), float(v[1])) for i, v in enumerate(x)] + [("a", "hole", None, 1.0), ("b", "small", 1.0, 1.0)]
