@@ -8,9 +8,11 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from terradrift import jobs, schema
+from terradrift.functions.geometry import collection
 from terradrift.operators import views
 from terradrift.operators.classify import Thresholds
 from terradrift.session import session
+from terradrift.sources import readers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,9 +30,9 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, type=kind, default=default, required=default is ...)
 
     data = ("--data-dir", str, ...)
-    command("convert", ("--input-dir", str, ...), ("--out-dir", str, ...), ("--compression", str, "snappy"), ("--min-coherence", float, None), ("--abs-velocity-limit", float, None), ("--bbox", [float], None), ("--force", bool, False))
-    command("classify", data, ("--min-coh", float, 0.5), ("--min-vel", float, 0.0), ("--v-stable", float, 2.5), ("--noise-thresh", float, 3.0), ("--quad-r2", float, 0.05), ("--accel-thresh", float, 1.5), ("--cusum-thresh", float, 2.5), ("--jump-mm", float, 5.0), ("--seasonal-r2", float, 0.15), ("--noisy-trend", float, 4.0), ("--n-components", int, 5))
-    command("cluster", data, ("--min-vel", float, 2.5), ("--min-coh", float, 0.5), ("--exclude-classes", [str], ["unclassified", "stable", "noisy"]), ("--eps-m", float, 100.0), ("--eps-vel", float, 3.0), ("--min-samples", int, 5), ("--buffer-m", float, 20.0), ("--min-purity", float, 0.5))
+    command("convert", ("--input-dir", str, ...), ("--out-dir", str, ...), ("--compression", str, "snappy"), ("--min-coherence", float, None), ("--abs-velocity-limit", float, None), ("--bbox", [float], None), ("--force", bool, False), ("--no-verify", bool, False))
+    command("classify", data, ("--min-coh", float, 0.5), ("--min-vel", float, 0.0), ("--v-stable", float, 2.5), ("--noise-thresh", float, 3.0), ("--quad-r2", float, 0.05), ("--accel-thresh", float, 1.5), ("--cusum-thresh", float, 2.5), ("--jump-mm", float, 5.0), ("--seasonal-r2", float, 0.15), ("--noisy-trend", float, 4.0), ("--n-components", int, 5), ("--random-state", int, 42))
+    command("cluster", data, ("--min-vel", float, 2.5), ("--min-coh", float, 0.5), ("--exclude-classes", [str], ["unclassified", "stable", "noisy"]), ("--eps-m", float, 100.0), ("--eps-vel", float, 3.0), ("--min-samples", int, 5), ("--buffer-m", float, 20.0), ("--min-purity", float, 0.5), ("--shapefile", bool, False))
     command("subcluster", data, ("--eps-m", float, 50.0), ("--eps-vel", float, 2.0), ("--min-samples", int, 3), ("--buffer-m", float, 15.0), ("--active-classes", [str], ["linear", "accel", "decel", "variable"]))
     command("serve", data, ("--port", int, 5000), ("--host", str, "127.0.0.1"))
     return top
@@ -43,12 +45,22 @@ class Viewer:
         self.spark, self.data_dir = spark, data_dir
         self.points = jobs.everything(spark, data_dir)
         self.series = jobs.read_series(spark, data_dir)
-        try:
-            self.corrected = jobs.read_series(spark, data_dir, "_ts_corrected.parquet")
-        except ValueError:
-            self.corrected = None
+        corrected = readers.list_files(spark, data_dir, "_ts_corrected.parquet", recursive=True)
+        self.corrected = jobs.read_series(spark, data_dir, "_ts_corrected.parquet") if corrected else None
 
     def answer(self, path: str, q: dict[str, str]) -> tuple[int, str]:
+        return self.reply(path, q)[:2]
+
+    def reply(self, path: str, q: dict[str, str]) -> tuple[int, str, dict[str, str]]:
+        """Status, body and the headers beside the usual ones."""
+        status, body = self._found(path, q)
+        counts = {}
+        if path == "/get_points" and status == 200:
+            rows = json.loads(body)
+            counts = {"X-Total-Count": str(rows[0]["total_count"] if rows else 0), "X-Rendered-Count": str(len(rows))}
+        return status, body, counts
+
+    def _found(self, path: str, q: dict[str, str]) -> tuple[int, str]:
         number = lambda name, default: float(q.get(name, default))
         yes = lambda name, default: q.get(name, default).lower() == "true"
         if path == "/get_points":
@@ -69,12 +81,10 @@ class Viewer:
             return 200, json.dumps(info | {"has_classes": "class_1" in has, "class_colors": schema.COLORS if "class_1" in has else {}, "has_clusters": "cluster_id" in has, "has_subclusters": "subcluster_id" in has, "has_corrected": self.corrected is not None})
         if path in ("/get_clusters", "/get_subclusters"):
             name = "clusters_polygons" if path == "/get_clusters" else "subclusters_polygons"
-            try:
-                shapes = self.spark.read.parquet(f"{self.data_dir}/{name}")
-            except Exception:
+            shapes = readers.read_polygons(self.spark, self.data_dir, name)
+            if shapes is None:
                 return 404, json.dumps({"error": f"no {name}"})
-            features = (r["feature"] for r in views.geojson(shapes).toLocalIterator())
-            return 200, '{"type": "FeatureCollection", "features": [' + ",".join(features) + "]}"
+            return 200, collection([r["feature"] for r in views.geojson(shapes).toLocalIterator()])
         if path == "/health":
             return 200, views.health(self.points).toJSON().first()
         return 404, json.dumps({"error": "no such path"})
@@ -85,13 +95,15 @@ def serve(viewer: Viewer, host: str, port: int) -> ThreadingHTTPServer:
         def do_GET(self):
             url = urlparse(self.path)
             try:
-                status, body = viewer.answer(url.path, {k: v[0] for k, v in parse_qs(url.query).items()})
+                status, body, more = viewer.reply(url.path, {k: v[0] for k, v in parse_qs(url.query).items()})
             except Exception as e:
-                status, body = 500, json.dumps({"error": str(e)[:500]})
+                status, body, more = 500, json.dumps({"error": str(e)[:500]}), {}
             data = body.encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
             self.send_header("Content-Length", str(len(data)))
+            for name, value in more.items():
+                self.send_header(name, value)
             self.end_headers()
             self.wfile.write(data)
 
@@ -105,16 +117,20 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = session()
     if a.command == "convert":
-        jobs.convert(spark, a.input_dir, a.out_dir, a.compression, a.min_coherence, a.abs_velocity_limit, a.bbox and tuple(a.bbox), a.force).show(1000, False)
+        report = jobs.convert(spark, a.input_dir, a.out_dir, a.compression, a.min_coherence, a.abs_velocity_limit, a.bbox and tuple(a.bbox), a.force, not a.no_verify)
+        report.show(100_000, False)
+        jobs.batch_totals(report).show(truncate=False)
+        if report.where("status = 'error'").count():
+            raise SystemExit(1)
     elif a.command == "classify":
         t = Thresholds(a.v_stable, a.noise_thresh, a.quad_r2, a.accel_thresh, a.cusum_thresh, a.jump_mm, a.seasonal_r2, a.noisy_trend)
         from terradrift.operators.classify import class_distribution, flag_distribution
 
-        labels = jobs.classify(spark, a.data_dir, a.min_coh, a.min_vel, t, a.n_components)
+        labels = jobs.classify(spark, a.data_dir, a.min_coh, a.min_vel, t, a.n_components, a.random_state)
         class_distribution(labels).show()
         flag_distribution(labels).show()
     elif a.command == "cluster":
-        jobs.cluster(spark, a.data_dir, a.min_vel, a.min_coh, a.exclude_classes, a.eps_m, a.eps_vel, a.min_samples, a.buffer_m, a.min_purity).drop("geometry").show()
+        jobs.cluster(spark, a.data_dir, a.min_vel, a.min_coh, a.exclude_classes, a.eps_m, a.eps_vel, a.min_samples, a.buffer_m, a.min_purity, a.shapefile).drop("geometry").show()
     elif a.command == "subcluster":
         jobs.subcluster(spark, a.data_dir, a.active_classes, a.eps_m, a.eps_vel, a.min_samples, a.buffer_m).drop("geometry").show()
     else:

@@ -155,9 +155,25 @@ def geometry_json(geometry: pd.Series) -> pd.Series:
     return geometry.map(one)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def geometry_box(geometry: pd.Series) -> pd.Series:
+    """West, south, east and north."""
+    return geometry.map(lambda wkb: None if wkb is None else [float(v) for r in [read_polygon(wkb)] for v in (*r.min(0), *r.max(0))])
+
+
 def feature_rows(polygons: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """GeoJSON features, one string a row; null properties are left out."""
+    """GeoJSON features with their bounds, one string a row; null properties are left out."""
     properties = F.to_json(F.struct(*[c for c in polygons.columns if c != geometry]))
-    return polygons.select(F.concat(F.lit('{"type": "Feature", "properties": '), properties, F.lit(', "geometry": '), F.coalesce(geometry_json(F.col(geometry)), F.lit("null")), F.lit("}")).alias("feature"))
+    box = F.coalesce(F.concat(F.lit(', "bbox": ['), F.array_join(geometry_box(F.col(geometry)), ", "), F.lit("]")), F.lit(""))
+    return polygons.select(F.concat(F.lit('{"type": "Feature", "properties": '), properties, box, F.lit(', "geometry": '), F.coalesce(geometry_json(F.col(geometry)), F.lit("null")), F.lit("}")).alias("feature"))
+
+
+def collection(features: list[str]) -> str:
+    """A FeatureCollection of feature_rows, with the bounds of all."""
+    import json
+
+    boxes = np.array([b for f in features if (b := json.loads(f).get("bbox"))])
+    whole = f'"bbox": {[float(v) for v in (*boxes[:, :2].min(0), *boxes[:, 2:].max(0))]}, ' if len(boxes) else ""
+    return f'{{"type": "FeatureCollection", {whole}"features": [' + ",".join(features) + "]}"
 
 

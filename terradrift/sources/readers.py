@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,50 @@ def list_files(spark: SparkSession, folder: str, *suffixes: str, recursive: bool
     return sorted(found)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Bytes of each file."""
+    conf, kind = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return {p: kind(p).getFileSystem(conf).getFileStatus(kind(p)).getLen() for p in paths}
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file: its first line only."""
-    line = spark.read.text(path).limit(1).collect()
-    return spark.read.csv(spark.sparkContext.parallelize([line[0][0]]), header=True).columns if line else []
+    """Column names of a CSV file: its first line, read by the driver without a Spark job."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    if not line or not line.lstrip("\ufeff"):
+        return []
+    return next(csv.reader([line.lstrip("\ufeff")]))
+
+
+def parquet_columns(spark: SparkSession, path: str) -> tuple[str, dict[str, str]]:
+    """What a file's columns are, as text, and its key-value pairs, from its footer, without a Spark job."""
+    jvm = spark._jvm
+    target = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(target)
+    try:
+        data = reader.getFooter().getFileMetaData()
+        return data.getSchema().toString(), dict(data.getKeyValueMetaData())
+    finally:
+        reader.close()
+
+
+def by_columns(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """Files grouped by equal columns; footers are read side by side."""
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for f, (columns, _) in zip(files, pool.map(lambda f: parquet_columns(spark, f), files), strict=True):
+            groups.setdefault(columns, []).append(f)
+    return list(groups.values())
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -40,8 +82,9 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     out = None
     groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(header(spark, p)), []).append(p)
+    with ThreadPoolExecutor(16) as pool:
+        for p, names in zip(paths, pool.map(lambda p: tuple(header(spark, p)), paths), strict=True):
+            groups.setdefault(names, []).append(p)
     for names, files in groups.items():
         kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.schema(kind).option("header", True).option("enforceSchema", True).csv(files).select("*", file_name())
@@ -105,11 +148,8 @@ def read_parquet_by_name(spark: SparkSession, paths: str | list[str], pattern: s
     one merged read refuses for differing types."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = [f for p in paths for f in (list_files(spark, p, pattern or ".parquet", recursive=True) if not p.endswith(".parquet") else [p])]
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
     out = None
-    for group in groups.values():
+    for group in by_columns(spark, files):
         df = spark.read.parquet(*group).select("*", file_name())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
@@ -118,7 +158,7 @@ def read_parquet_by_name(spark: SparkSession, paths: str | list[str], pattern: s
 
 
 def pair_files(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """(metadata, series) files that share a stem, and metadata files without a series."""
+    """(metadata, series) files that share a stem, and metadata files without a series, which callers name and leave out."""
     meta = list_files(spark, folder, "_meta.parquet", recursive=True)
     series = set(list_files(spark, folder, "_ts.parquet", recursive=True))
     mate = lambda m: m[: -len("_meta.parquet")] + "_ts.parquet"
@@ -130,19 +170,58 @@ def point_files(paths: list[str]) -> list[str]:
     return [p for p in paths if "clusters_" not in p.rsplit("/", 1)[-1] and "subcluster" not in p.rsplit("/", 1)[-1]]
 
 
-def read_geopackage(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """A layer of a GeoPackage (SQLite) file on the driver; geometry blobs lose their header and become WKB. A
-    layer is a polygon summary, small beside the points."""
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> tuple[DataFrame, int]:
+    """A layer of a GeoPackage (SQLite) file, the first one unless named, and its EPSG code. The file is fetched to the driver;
+    geometry blobs lose their header and become WKB. A layer is a polygon summary, small beside the points."""
     import sqlite3
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        (column,) = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
-        cursor = db.execute(f'select * from "{layer}"')
-        names = [c[0] for c in cursor.description]
-        rows = [list(r) for r in cursor]
-    at = names.index(column)
+    import tempfile
+
+    from terradrift.sources.sinks import store
+
+    files, at = store(path)
+    with tempfile.NamedTemporaryFile(suffix=".gpkg") as copy:
+        with files.open_input_stream(at) as source:
+            while block := source.read(1 << 20):
+                copy.write(block)
+        copy.flush()
+        with sqlite3.connect(f"file:{copy.name}?mode=ro", uri=True) as db:
+            where = "" if layer is None else " where table_name = ?"
+            layer, column, epsg = db.execute(f"select table_name, column_name, srs_id from gpkg_geometry_columns{where}", () if layer is None else (layer,)).fetchone()
+            kinds = {r[1]: {"INTEGER": "long", "REAL": "double", "BOOLEAN": "boolean", "BLOB": "binary"}.get((r[2] or "").upper(), "string") for r in db.execute(f'pragma table_info("{layer}")')}
+            cursor = db.execute(f'select * from "{layer}"')
+            names = [c[0] for c in cursor.description]
+            rows = [list(r) for r in cursor]
+    at_ = names.index(column)
     for r in rows:
-        if r[at] is not None:
-            r[at] = bytes(r[at])[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(r[at][3] >> 1) & 7] :]
-    names[at] = "geometry"
-    return spark.createDataFrame(rows, names) if rows else spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
+        if r[at_] is not None:
+            blob = bytes(r[at_])
+            r[at_] = blob[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7] :]
+        for k, name in enumerate(names):
+            if kinds[name] == "boolean" and r[k] is not None:
+                r[k] = bool(r[k])
+    schema = ", ".join(f"`{'geometry' if n == column else n}` {'binary' if n == column else kinds[n]}" for n in names)
+    return spark.createDataFrame(rows, schema), epsg
+
+
+def read_polygons(spark: SparkSession, data_dir: str, name: str) -> DataFrame | None:
+    """Polygons in degrees by that name: of subclusters the GeoPackage where there is one, else the GeoParquet folder; None where
+    there is neither. Coordinates in another system are brought to degrees, and an unknown system is an error."""
+    from terradrift.functions.geometry import to_degrees
+    from terradrift.sources.sinks import geo_epsg
+
+    if name.startswith("sub") and exists(spark, f"{data_dir}/{name}.gpkg"):
+        shapes, epsg = read_geopackage(spark, f"{data_dir}/{name}.gpkg")
+        shapes = shapes.drop("fid")
+    elif exists(spark, f"{data_dir}/{name}"):
+        files = list_files(spark, f"{data_dir}/{name}", ".parquet")
+        found = {geo_epsg({k.encode(): v for k, v in parquet_columns(spark, f)[1].items()}) for f in files} - {None}
+        if len(found) > 1:
+            raise ValueError(f"{name}: files of several coordinate systems")
+        shapes, epsg = spark.read.parquet(f"{data_dir}/{name}"), found.pop() if found else 4326
+    else:
+        return None
+    if epsg == 4326:
+        return shapes
+    if epsg != 3035:
+        raise ValueError(f"{name}: coordinate system EPSG:{epsg} is not known")
+    return shapes.withColumn("geometry", to_degrees("geometry"))

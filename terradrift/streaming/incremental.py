@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terradrift.sources.readers import list_files
+from terradrift.sources.readers import exists, list_files
 
 
 def pending(spark: SparkSession, raw_folder: str, out_folder: str, force: bool = False) -> list[str]:
     """Raw files whose two outputs don't both exist."""
     raw = list_files(spark, raw_folder, ".csv", ".txt")
-    try:
-        done = {p.rsplit("/", 1)[-1] for p in list_files(spark, out_folder, ".parquet", recursive=True)}
-    except Exception:  # the folder doesn't exist yet
-        done = set()
+    written = list_files(spark, out_folder, ".parquet", recursive=True) if exists(spark, out_folder) else []
+    done = {re.sub(r"\.part[0-9]{4}(?=_)", "", p.rsplit("/", 1)[-1]) for p in written}
     stem = lambda p: p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return [p for p in raw if force or not {f"{stem(p)}_meta.parquet", f"{stem(p)}_ts.parquet"} <= done]
 

@@ -87,9 +87,78 @@ def test_checked_write_summary_manifest_and_geopackage(spark, tmp_path):
     sinks.write_manifest(str(tmp_path / "m.json"), {"a": 1})
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": 1}
     assert sinks.write_geopackage(shapes, str(tmp_path / "c.gpkg"), "clusters") == 2
-    back = {r["cluster_id"]: r for r in readers.read_geopackage(spark, str(tmp_path / "c.gpkg"), "clusters").collect()}
-    assert bytes(back["CL_0000"]["geometry"]) == polygon_wkb(ring) and back["CL_0001"]["geometry"] is None
-    assert sinks.geo_metadata([0, 0, 1, 1])["columns"]["geometry"]["encoding"] == "WKB"
+    layer, epsg = readers.read_geopackage(spark, str(tmp_path / "c.gpkg"), "clusters")
+    back = {r["cluster_id"]: r for r in layer.collect()}
+    assert bytes(back["CL_0000"]["geometry"]) == polygon_wkb(ring) and back["CL_0001"]["geometry"] is None and epsg == 3035
+    assert layer.dtypes == [("fid", "bigint"), ("geometry", "binary"), ("cluster_id", "string"), ("n_points", "bigint")]
+
+
+def test_geoparquet_folders(spark, tmp_path):
+    """Each file names its geometry column, its system and its bounds; a failed count takes the folder away."""
+    import pyarrow.parquet as pq
+
+    ring = np.array([(7, 45), (8, 45), (7, 46)], float)
+    shapes = spark.createDataFrame([(f"CL_{k:04d}", bytearray(polygon_wkb(ring + k))) for k in range(6)], "cluster_id string, geometry binary").repartition(3)
+    assert sinks.write_geo(shapes, str(tmp_path / "polys")) == 6
+    bounds = []
+    for f in (tmp_path / "polys").glob("*.parquet"):
+        geo = json.loads(pq.read_schema(f).metadata[b"geo"])
+        column = geo["columns"][geo["primary_column"]]
+        assert geo["version"] == "1.1.0" and column["encoding"] == "WKB" and column["geometry_types"] == ["Polygon"] and "crs" not in column
+        bounds.append(column["bbox"])
+    assert len(bounds) > 1 and [min(b[0] for b in bounds), max(b[3] for b in bounds)] == [7.0, 51.0]
+    assert not list((tmp_path / "polys").glob(".part*"))
+    assert sinks.write_geo(shapes, str(tmp_path / "polys"), epsg=3035) == 6  # in place of the others
+    moved = readers.read_polygons(spark, str(tmp_path), "polys")
+    assert moved.count() == 6 and bytes(moved.first()["geometry"]) != bytes(shapes.first()["geometry"])
+    assert sinks.write_geo(shapes.limit(0), str(tmp_path / "none")) == 0 and spark.read.parquet(str(tmp_path / "none")).columns == shapes.columns
+    sinks.write_geo(shapes, str(tmp_path / "odd"), epsg=32632)
+    with pytest.raises(ValueError, match="32632"):
+        readers.read_polygons(spark, str(tmp_path), "odd")
+    assert readers.read_polygons(spark, str(tmp_path), "missing") is None
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    ring = np.array([(7, 45), (8, 45), (7, 46)], float)
+    shapes = spark.createDataFrame([("CL_0000", 3, 1.25, True, bytearray(polygon_wkb(ring))), ("CL_0001", None, None, None, None)], "cluster_id string, n_points long, velocity_mean_mm double, is_mixed boolean, geometry binary")
+    assert sinks.write_shapefile(shapes, str(tmp_path / "c")) == 2
+    shp, shx, dbf = ((tmp_path / f"c.{e}").read_bytes() for e in ("shp", "shx", "dbf"))
+    assert struct.unpack(">i", shp[:4]) == (9994,) and struct.unpack(">i", shp[24:28])[0] * 2 == len(shp) and struct.unpack(">i", shx[24:28])[0] * 2 == len(shx) == 116
+    at, size = struct.unpack(">ii", shx[100:108])
+    kind, *box = struct.unpack("<i4d", shp[2 * at + 8 : 2 * at + 44])
+    assert (kind, box) == (5, [7.0, 45.0, 8.0, 46.0]) and size * 2 == 4 + 32 + 12 + 4 * 16
+    points = np.frombuffer(shp[2 * at + 56 : 2 * at + 120], "<f8").reshape(4, 2)
+    x, y = points.T
+    assert (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() < 0 and {tuple(p) for p in points.tolist()} == {tuple(p) for p in ring.tolist()}
+    n, head, width = struct.unpack("<IHH", dbf[4:12])
+    names = [dbf[k : k + 11].split(b"\0")[0].decode() for k in range(32, head - 1, 32)]
+    assert (n, names) == (2, ["cluster_id", "n_points", "velocity_m", "is_mixed"])
+    row = dbf[head : head + width].decode()
+    assert row[1:255].strip() == "CL_0000" and row.split()[1:] == ["3", "1.250000000T"] and dbf[head + width : head + 2 * width].decode().rstrip().endswith("?")
+    assert "WGS_1984" in (tmp_path / "c.prj").read_text()
+
+
+def test_parts_of_large_sources_and_unknown_stores(spark, tmp_path, monkeypatch):
+    points = spark.range(500).selectExpr("'x.csv' as source_file", "string(id) as pid", "45.0D + id / 1000 as latitude", "7.0D as longitude").unionByName(spark.createDataFrame([("y.csv", "1", 45.0, 7.0)], "source_file string, pid string, latitude double, longitude double"))
+    done = sinks.write_files(points, str(tmp_path / "out"), "_meta.parquet", {}, parts={"x.csv": 4}).collect()
+    assert sorted(r["path"].rsplit("/", 1)[-1] for r in done) == [*(f"x.part{k:04d}_meta.parquet" for k in range(4)), "y_meta.parquet"]
+    assert sum(r["n"] for r in done) == 501 and all(0 < r["n"] < 200 for r in done)
+    monkeypatch.chdir(tmp_path)
+    with pytest.raises(Exception, match="(?i)scheme|filesystem|unrecognized"):
+        sinks.write_files(points, "nosuch://bucket/out", "_meta.parquet", {}).collect()
+    assert not list(tmp_path.glob("nosuch*"))
+
+
+def test_a_failed_attempt_takes_its_files_away(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    fail = F.udf(lambda i: 1 // (i - 150), T.LongType())
+    rows = spark.range(200, numPartitions=1).select(F.lit("x.csv").alias("source_file"), F.col("id").cast("string").alias("pid"), fail("id").alias("v"))
+    with pytest.raises(Exception):
+        sinks.write_files(rows, str(tmp_path / "out"), "_meta.parquet", {}).collect()
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
 
 
 def test_pruned_scan(spark, tmp_path):
