@@ -32,15 +32,13 @@ def with_orbit(df: DataFrame) -> DataFrame:
 
 
 def long_series(spark: SparkSession, sf_dir: str, kind: str = "supplier") -> DataFrame:
-    """lineitem as monthly series by supplier or part (returned lines), events as daily series by user; months and
+    """lineitem as monthly series by supplier or part, events as daily series by user; months and
     days without a value are null rows, as in a wide file."""
     if kind == "user":
         e = table(spark, sf_dir, "events")
         rows = e.groupBy(F.col("user_id").cast("string").alias("pid"), F.to_date("ts").alias("acq_date")).agg(F.sum("value").alias("disp"))
     else:
         li = table(spark, sf_dir, "lineitem")
-        if kind == "part":
-            li = li.where("l_returnflag = 'R'")
         key = "l_suppkey" if kind == "supplier" else "l_partkey"
         rows = li.groupBy(F.col(key).cast("string").alias("pid"), F.trunc("l_shipdate", "month").alias("acq_date")).agg((F.avg("l_extendedprice") / 1000).alias("disp"))
     grid = rows.select("pid").distinct().crossJoin(F.broadcast(rows.select("acq_date").distinct()))  # the date axis: a row a date
@@ -55,7 +53,7 @@ def cluster_points(spark: SparkSession, sf_dir: str, kind: str = "customer") ->
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), (k * 7919 % 5000).cast("double").alias("e"), (k * 104729 % 5000 + F.col("o_orderkey") % 97).cast("double").alias("n"), ((F.col("o_totalprice") - 250000) / 20000).alias("v"), F.lit(1.0).alias("coherence"), F.col("o_orderpriority").alias("class_1"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """embeddings as feature rows of one file."""
     names = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)]
     return table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("source_file"), F.col("vec_id").cast("string").alias("pid"), F.col("label").cast("string").alias("rule"), *names)

@@ -5,9 +5,10 @@ mixture models, buffered hulls, projections, and files with footers. Those are t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift import schema
@@ -45,8 +46,8 @@ def _series_sql(kind: str) -> str:
     if kind == "user":
         rows = "select cast(user_id as varchar) as pid, cast(ts as date) as acq_date, sum(value) as disp from events group by 1, 2"
     else:
-        key, where = ("l_suppkey", "") if kind == "supplier" else ("l_partkey", "where l_returnflag = 'R'")
-        rows = f"select cast({key} as varchar) as pid, cast(date_trunc('month', l_shipdate) as date) as acq_date, avg(l_extendedprice) / 1000 as disp from lineitem {where} group by 1, 2"
+        key = "l_suppkey" if kind == "supplier" else "l_partkey"
+        rows = f"select cast({key} as varchar) as pid, cast(date_trunc('month', l_shipdate) as date) as acq_date, avg(l_extendedprice) / 1000 as disp from lineitem group by 1, 2"
     return f"""raw as ({rows}), ser as (select '{kind}' as source_file, g.pid, g.acq_date, r.disp from (select * from (select distinct pid from raw) cross join (select distinct acq_date from raw)) g
         left join raw r on r.pid = g.pid and r.acq_date = g.acq_date)"""
 
@@ -71,7 +72,7 @@ def points_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.points_in_view(A.with_orbit(A.points(spark, sf_dir)), **VIEW)
 
 
-@query()
+@query(ORACLE["points_in_view"].replace("orbit in ('A', 'D')", "false"))
 def no_orbit_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.points_in_view(A.with_orbit(A.points(spark, sf_dir)), **(VIEW | {"asc": False, "desc": False}))
 
@@ -146,13 +147,6 @@ def verify_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.verify_pair(p, s)
 
 
-@query("""select cast(c_custkey as varchar) as pid, c_acctbal as a, null::varchar as b from customer union all select cast(s_suppkey as varchar), null, s_name from supplier""")
-def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pid"), F.col("c_acctbal").alias("a"))
-    b = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("pid"), F.col("s_name").alias("b"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @query(f"""with {POINTS} select pid, latitude, longitude, temporal_coherence from (select *, row_number() over (partition by floor(latitude / 0.25::double), floor(longitude / 0.25::double) order by temporal_coherence desc nulls last, pid) as rn from pts) where rn = 1""")
 def best_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.best_per_cell(A.points(spark, sf_dir), 0.25).select("pid", "latitude", "longitude", "temporal_coherence")
@@ -263,7 +257,7 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.eligibility(A.points(spark, sf_dir), 0.5, 1.0)
 
 
-_WIDTH = 8
+_WIDTH = 64
 _VEC = "v as (select cast(vec_id as varchar) as pid, cast(label as varchar) as rule, " + ", ".join(f"embedding[{i + 1}]::double as f{i}" for i in range(_WIDTH)) + " from embeddings)"
 _DIST = " + ".join(f"(v.f{i} - c.f{i}) * (v.f{i} - c.f{i})" for i in range(_WIDTH))
 
@@ -311,12 +305,13 @@ def label_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- clusters -------------------------------------------------------------------------------------
 
 
-def _dbscan_sql(source: str, eps: float = 100.0, eps_vel: float = 3.0, least: int = 5, group: str = "") -> str:
-    """Neighbours, cores, components by the recursive closure, numbers by first core, borders to the least number."""
-    same = f"and a.{group} = b.{group}" if group else ""
+def _dbscan_sql(source: str, eps: float = 100.0, eps_vel: float = 3.0, least: int = 5, group: str = "", prefix: str = "") -> str:
+    """Neighbours, cores, components by the recursive closure, numbers by first core, borders to the least number. prefix: of the
+    tables' names."""
+    same = "".join(f" and a.{c} = b.{c}" for c in group.split(", ") if c)
     part = f"partition by {group}" if group else ""
     g = f", {group}" if group else ""
-    return f"""p as (select *, v * {eps / eps_vel!r}::double as z, cast(floor(e / {eps}) as bigint) as cx, cast(floor(n / {eps}) as bigint) as cy from ({source})),
+    text = f"""p as (select *, v * {eps / eps_vel!r}::double as z, cast(floor(e / {eps}) as bigint) as cx, cast(floor(n / {eps}) as bigint) as cy from (@source)),
     nb as materialized (select a.idx as i, b.idx as j from (select *, cx + unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) as qx, cy + unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) as qy from p) a join p b on b.cx = a.qx and b.cy = a.qy {same}
         where (a.e - b.e) * (a.e - b.e) + (a.n - b.n) * (a.n - b.n) + (a.z - b.z) * (a.z - b.z) <= {eps * eps}::double),
     core as materialized (select i from nb group by i having count(*) >= {least}),
@@ -326,9 +321,14 @@ def _dbscan_sql(source: str, eps: float = 100.0, eps_vel: float = 3.0, least: in
     num as (select head.i as idx, dense_rank() over ({part} order by h) - 1 as label{g} from head join p on p.idx = head.i),
     bord as (select nb.i as idx, min(num.label) as label from nb join num on num.idx = nb.j where nb.i not in (select i from core) group by nb.i),
     lab as (select p.*, coalesce(num.label, bord.label, -1) as label from p left join num on num.idx = p.idx left join bord on bord.idx = p.idx)"""
+    for name in ("p", "nb", "core", "cc", "reach", "head", "num", "bord", "lab") if prefix else ():
+        text = re.sub(rf"\b{name}\b(?= as (materialized )?\(|\.)", prefix + name, text)
+        text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {prefix}{name}", text)
+    return text.replace("@source", source)
 
 
 _CUST = "select c_custkey as idx, (c_custkey * 7919 % 2000)::double as e, (c_custkey * 104729 % 2000)::double as n, (c_acctbal - 4500) / 500 as v, (c_custkey * 31 % 1000)::double / 1000 as coherence, c_mktsegment as class_1 from customer"
+_SUB = "select idx, 'CL_' || lpad(cast(label as varchar), 4, '0') as cluster_id, class_1, e, n, v from lab where label >= 0 and class_1 in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')"
 _ORD = "select o_orderkey as idx, (o_custkey * 7919 % 5000)::double as e, (o_custkey * 104729 % 5000 + o_orderkey % 97)::double as n, (o_totalprice - 250000) / 20000 as v from orders"
 
 
@@ -375,10 +375,9 @@ def cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.totals(_members(spark, sf_dir).withColumn("cluster_id", scalars.cluster_id(F.col("label"))))
 
 
-@query(f"with recursive {_dbscan_sql(_CUST)} select cast(idx as varchar) as pid, case when label < 0 or idx % 2 = 1 then 'NOISE' else 'CL_' || lpad(cast(label as varchar), 4, '0') end as cluster_id from lab")
+@query(f"with recursive {_dbscan_sql(_CUST)} select cast(idx as varchar) as pid, case when label < 0 then 'NOISE' else 'CL_' || lpad(cast(label as varchar), 4, '0') end as cluster_id from lab")
 def cluster_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _members(spark, sf_dir).where("idx % 2 = 0")
-    found = m.select(F.lit("customer").alias("source_file"), F.col("idx").cast("string").alias("pid"), scalars.cluster_id(F.col("label")).alias("cluster_id"))
+    found = _members(spark, sf_dir).select(F.lit("customer").alias("source_file"), F.col("idx").cast("string").alias("pid"), scalars.cluster_id(F.col("label")).alias("cluster_id"))
     return clusters.with_cluster_ids(A.points(spark, sf_dir), found).select("pid", "cluster_id")
 
 
@@ -391,12 +390,16 @@ def cluster_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.functions.geometry import to_degrees
 
-    shapes = clusters.polygons(_members(spark, sf_dir).withColumns({"e": F.col("e") + 4321000, "n": F.col("n") + 3210000}), ["label"])
-    out = clusters.summarise(_members(spark, sf_dir)).join(shapes, "label")
+    from terradrift.tables import Stage
+
+    m = Stage(spark, "geojson").keep(_members(spark, sf_dir), "members")
+    shapes = clusters.polygons(m.withColumns({"e": F.col("e") + 4321000, "n": F.col("n") + 3210000}), ["label"])
+    out = clusters.summarise(m).join(shapes, "label")
     return views.geojson(out.withColumn("geometry", to_degrees("geometry")))
 
 
-@query()
+@query(f"""with recursive {_dbscan_sql(_CUST)}, {_dbscan_sql(_SUB, 50.0, 2.0, 3, "cluster_id, class_1", "s_")}
+    select idx, cluster_id, class_1, label, cluster_id || case when label < 0 then '_SUB_NOISE' else '_SUB_' || lpad(cast(label as varchar), 3, '0') end as subcluster_id from s_lab""")
 def subclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _members(spark, sf_dir).withColumn("cluster_id", scalars.cluster_id(F.col("label"))).drop("label")
     return clusters.subclusters(m, ("BUILDING", "MACHINERY", "AUTOMOBILE"))
@@ -450,15 +453,27 @@ def parquet_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet_by_name(spark, stage.root).drop("source_file")
 
 
-@query("select r_regionkey, count(*) as n, sum(n_nationkey)::bigint as s from region join nation on n_regionkey = r_regionkey group by 1")
-def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over a batch of small inputs."""
-    r, n = A.table(spark, sf_dir, "region"), A.table(spark, sf_dir, "nation")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_regionkey").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("s"))
+@query("""with r as (select case s_suppkey % 5 when 0 then 'skipped' when 1 then 'error' else 'ok' end as status, s_nationkey * 1000 as n_points, s_suppkey * 4000 as in_bytes, case when s_suppkey % 5 > 1 then s_suppkey * 1000 end as out_bytes from supplier)
+    select count(*) filter (status = 'ok') as n_processed, count(*) filter (status = 'skipped') as n_skipped, count(*) filter (status = 'error') as n_errors, coalesce(sum(n_points) filter (status = 'ok'), 0)::bigint as total_points,
+    sum(in_bytes)::double / 1e6 as in_mb, sum(out_bytes)::double / 1e6 as out_mb, 100.0::double * (1 - sum(out_bytes)::double / 1e6 / (sum(in_bytes)::double / 1e6)) as saving_pct from r""")
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a conversion's report, with suppliers as files."""
+    from terradrift.jobs import batch_totals as totals
+
+    k = F.col("s_suppkey")
+    status = F.when(k % 5 == 0, "skipped").when(k % 5 == 1, "error").otherwise("ok")
+    report = A.table(spark, sf_dir, "supplier").select(status.alias("status"), (F.col("s_nationkey") * 1000).cast("long").alias("n_points"), (k * 4000).alias("in_bytes"), F.when(k % 5 > 1, k * 1000).alias("out_bytes"))
+    return totals(report)
+
+
+_PROBS = ", ".join(f"abs(embedding[{i + 1}]::double)" for i in range(len(schema.CLASSES)))
 
 
-@query("select pid, w from (select cast(c_custkey as varchar) as pid, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as w from customer) where w <= 2")
-def top_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two first rows of each key."""
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pid"), F.row_number().over(w).alias("w")).where("w <= 2")
+@query(f"""with l as (select vec_id, unnest([{_PROBS}]) as p, unnest([{", ".join(f"'{c}'" for c in schema.CLASSES)}]) as name, unnest(range({len(schema.CLASSES)})) as i from embeddings),
+    r as (select *, row_number() over (partition by vec_id order by p desc, i) as rn, sum(p) over (partition by vec_id) as t from l)
+    select cast(vec_id as varchar) as pid, max(name) filter (rn = 1) as class_1, max(name) filter (rn = 2) as class_2, round(max(p / t) filter (rn = 1), 9) as class_prob_1 from r group by vec_id""")
+def top_two_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two likeliest classes of each row of class weights."""
+    weights = F.array(*[F.abs(F.col("embedding")[i].cast("double")) for i in range(len(schema.CLASSES))])
+    rows = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("pid"), C.top_two(weights).alias("t"))
+    return rows.select("pid", "t.class_1", "t.class_2", F.round("t.class_prob_1", 9).alias("class_prob_1"))
