@@ -81,14 +81,28 @@ def with_rows(docs: DataFrame, rows: DataFrame, how: str, mark: Column) -> DataF
     return docs.join(rows, docs["doc_id"].eqNullSafe(F.col(name)) & (mark == F.col(other)), how)
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc") -> DataFrame:
-    """(node, root) for every node of edges (a, b), root being the least node of its component.
+def _least_of_all(batches):
+    import pandas as pd
+
+    from terradrift.operators.dbscan import least_in
+
+    parts = [(pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)) for pdf in batches]
+    if parts:
+        node, root = least_in(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pd.DataFrame({"node": node, "root": root})
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, label: str = "cc", local: int = 0) -> DataFrame:
+    """(node, root) for every node of edges (a, b), root being the least node of its component. With local, a graph of so
+    many edges at most is done in one task, in Python.
 
     Alternating large-star and small-star steps; each is an aggregate and an equi-join, so a hub's
     links are spread by the skew join and pre-aggregated before the shuffle. Each round is written to
     the shared folder; the count and a checksum of the edges tell when nothing changes any more."""
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
     before, step = None, 0
+    if local and now.count() <= local:
+        return scratch.save(now.coalesce(1).mapInPandas(_least_of_all, "node long, root long"), f"{label}-roots")
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:

@@ -11,7 +11,7 @@ hashes; two different shingles share one with probability 2**-64). The result is
    lie in both prefixes of length n - ceil(0.8 n) + l. The incidence of the prefixes, a class once a task, is dealt into
    blocks of columns; each block multiplies with itself, giving pairs and overlap counts, which are summed over
    the blocks; pairs below their bound l, or whose sizes cannot link, are discarded. A column of more than DENSE classes
-   emits a chain of its classes by size instead of pairs, broken where sizes cannot link.
+   emits, instead of pairs, links of each class to the first of its run by size, runs ending where sizes cannot link.
 4. Clusters: connected components of what remains. One within TASK_SHINGLES is one dense or sparse product over whole sets
    in one task, which links exactly. The members of larger ones go through steps 2 and 3 again, each cluster with columns of its
    own and an order counted over its own sets, which takes apart what common passages had chained.
@@ -41,6 +41,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2_000_000
 DENSE = 128
 #: Prefix entries, and shingles of whole sets, that a task multiplies.
 BLOCK_ENTRIES, TASK_SHINGLES = 600_000, 200_000
+#: Links of a graph whose components one task finds; larger graphs take alternating rounds over all tasks.
+LOCAL_EDGES = 250_000
 #: Rounds in which components of large clusters meet, at most, and the share of them that a round must join.
 ROUNDS, WORTH = 8, 0.2
 
@@ -191,7 +193,7 @@ def _block_pairs(pdf):
             a.append((at[:, None] + x).ravel())
             b.append((at[:, None] + y).ravel())
         else:
-            chain.append((at[:, None] + np.arange(int(k) - 1)).ravel())
+            chain.append((at[:, None] + np.arange(int(k))).ravel())
     a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
     ok = 100 * n[a] >= SIMILAR * n[b]  # by size within a column
     a, b = a[ok], b[ok]
@@ -199,9 +201,10 @@ def _block_pairs(pdf):
     pair, first, times = np.unique(np.sort(np.stack([c[a], c[b]], 1), axis=1), axis=0, return_index=True, return_counts=True) if len(a) else (np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     out = pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "overlap": times.astype(np.int64), "bound": bound[first].astype(np.int64)})
     if chain:
-        p = np.concatenate(chain)
-        p = p[100 * n[p] >= SIMILAR * n[p + 1]]
-        both = np.unique(np.sort(np.stack([c[p], c[p + 1]], 1), axis=1), axis=0)
+        p = np.sort(np.concatenate(chain))
+        begins = np.append(True, (p[1:] != p[:-1] + 1) | (h[p[1:]] != h[p[:-1]]) | (100 * n[p[:-1]] < SIMILAR * n[p[1:]]))
+        hub = p[np.maximum.accumulate(np.where(begins, np.arange(len(p)), 0))]
+        both = np.unique(np.sort(np.stack([c[hub[~begins]], c[p[~begins]]], 1), axis=1), axis=0)
         out = pd.concat([out, pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "overlap": np.int64(1 << 40), "bound": np.int64(1)})])
     return out
 
@@ -340,7 +343,7 @@ def _link_clusters(scratch: Scratch, docs: DataFrame, members: DataFrame) -> Dat
     # the same join within each cluster, by the cluster's own columns and counts
     total = large.agg(F.sum("n")).first()[0]
     pairs = candidate_edges(scratch, sets.select("cluster", "class", "s"), total, _set_rows, 1, "large")
-    roots = connected_components(scratch, pairs, "cc-large")
+    roots = connected_components(scratch, pairs, "cc-large", LOCAL_EDGES)
     now = large.select("class", "n").join(roots.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
     now = scratch.save(_load(now), "parted")
     small, large = now.where(F.col("load") <= TASK_SHINGLES), now.where(F.col("load") > TASK_SHINGLES)
@@ -361,8 +364,10 @@ def _link_large(scratch: Scratch, sets: DataFrame, large: DataFrame) -> DataFram
     task = F.concat_ws("/", "cluster", F.pmod(F.xxhash64("class"), chunks))
     edges = _tasks(scratch, sets.join(large.select("class", "cluster", task.alias("task")), "class"), "within")
     comps = None
-    for k in range(ROUNDS):
+    for k in range(ROUNDS + 1):
         now = _labelled(scratch, large, edges, f"round-{k}")
+        if k == ROUNDS:
+            break
         size = scratch.save(now.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.expr("array_agg(DISTINCT class) FILTER (WHERE pmod(xxhash64(class, 7), 1024) = 0)").alias("few"), F.min("class").alias("least")), f"sizes-{k}")
         many = size.where("size >= 4")
         before, comps = comps, many.count()
@@ -374,7 +379,6 @@ def _link_large(scratch: Scratch, sets: DataFrame, large: DataFrame) -> DataFram
         loads = speakers.groupBy("cluster").agg(F.ceil(F.sum(weight) / TASK_SHINGLES).alias("tasks"))
         speakers = speakers.join(loads, "cluster").select("class", "cluster", F.concat_ws("/", "cluster", F.pmod(F.xxhash64("class", F.lit(k)), F.col("tasks"))).alias("task"))
         edges = edges.unionByName(_tasks(scratch, sets.join(speakers, "class"), f"speakers-{k}"))
-    now = _labelled(scratch, large, edges, "parts")
     loads = now.groupBy("cluster", "comp").agg(F.sum(weight).alias("comp_load"))
     now = now.join(loads, ["cluster", "comp"])
     pure = F.col("comp_load") >= TASK_SHINGLES / 2
@@ -390,7 +394,7 @@ def _link_large(scratch: Scratch, sets: DataFrame, large: DataFrame) -> DataFram
 
 
 def _labelled(scratch: Scratch, members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    roots = connected_components(scratch, edges, f"cc-{name}").select(F.col("node").alias("class"), F.col("root"))
+    roots = connected_components(scratch, edges, f"cc-{name}", LOCAL_EDGES).select(F.col("node").alias("class"), F.col("root"))
     return members.join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
 
 
@@ -413,10 +417,10 @@ def _components(docs: DataFrame) -> DataFrame:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")
     classes = profile.where("n > 0").groupBy("class").agg(rep, F.max("n").alias("n"))
     classes = scratch.save(classes.select("class", F.col("r.doc_id").alias("rep"), "r.mark", "n"), "classes")
-    clusters = connected_components(scratch, candidate_edges(scratch, docs.select("text"), total), "cc-candidates")
+    clusters = connected_components(scratch, candidate_edges(scratch, docs.select("text"), total), "cc-candidates", LOCAL_EDGES)
     members = classes.join(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
     edges = _link_clusters(scratch, docs, members.select("rep", "mark", "class", "cluster", "n"))
-    linked = connected_components(scratch, edges, "cc-links").select(F.col("node").alias("class"), "root")
+    linked = connected_components(scratch, edges, "cc-links", LOCAL_EDGES).select(F.col("node").alias("class"), "root")
     linked = scratch.save(classes.join(linked, "class").select("class", "root", "rep"), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     component = linked.join(least, "root").select("class", "root", "least")

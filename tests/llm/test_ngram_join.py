@@ -69,6 +69,7 @@ def test_passages_that_chain_and_a_chain_of_near_misses(make, monkeypatch):
     """Common passages join all texts to one cluster at first; neighbours in a row differ by a little more than links allow, or just not."""
     monkeypatch.setattr(J, "TASK_SHINGLES", 4000)
     monkeypatch.setattr(J, "DENSE", 4)
+    monkeypatch.setattr(J, "LOCAL_EDGES", 0)
     monkeypatch.setattr(J, "MOST_FREQUENT", 50)
     rng = random.Random(21)
     passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(3)]
