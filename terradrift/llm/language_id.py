@@ -41,6 +41,8 @@ from terradrift.ship import ship
 FIT_ROWS, SAMPLE_CHARS, ALL_CHARS = 300, 40_000, 4_000_000
 #: Characters of a text that one lane parses, and that it may run on until it meets the parse of the next.
 PIECE, RUN_ON = 512, 1024
+#: Bytes of plain tables (state by class) that a worker makes of automata of few classes, which is only faster.
+TABLE_BYTES = 64 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +59,7 @@ class Automaton:
         key = np.repeat(np.arange(len(step), dtype=np.int64), n) * width + np.fromiter((c for d in step for c in d), np.int64, sum(n))
         to = np.fromiter((t for d in step for t in d.values()), np.int32, sum(n))
         bits = max(4, int(np.ceil(np.log2(3 * max(1, len(key))))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.shift, self.mask, self.table = np.uint64(64 - bits), (1 << bits) - 1, None
         self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
         at = self._place(key)
         while len(key):  # linear probing; of keys that meet at a free place the first stays
@@ -71,9 +73,21 @@ class Automaton:
     def _place(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * _MULT) >> self.shift).astype(np.int64)
 
+    def table_bytes(self) -> int:
+        return 4 * (self.dead + 1) * self.width
+
+    def tabulate(self) -> None:
+        """All transitions in one array; where a phrase begins, bit 30 is set."""
+        self.table = np.tile(self.root | np.int32(1 << 30), self.dead + 1)
+        used = self.keys >= 0
+        self.table[self.keys[used]] = self.to[used]
+
     def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and whether a phrase begins with c."""
         key = state * np.int64(self.width) + c
+        if self.table is not None:
+            to = self.table[key]
+            return to & ((1 << 30) - 1), to >= 1 << 30
         at = self._place(key)
         there = self.keys[at]
         begins = there != key
@@ -261,6 +275,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         is_letter = letters()
         bits = np.log2(np.maximum(2, [a.size for a in m.automata]))
+        left = TABLE_BYTES - sum(a.table_bytes() for a in m.automata if a.table is not None)
+        for a in sorted(m.automata, key=Automaton.table_bytes):
+            if a.table is None and a.table_bytes() <= left:
+                a.tabulate()
+                left -= a.table_bytes()
         for batch in batches:
             texts = batch["text"].to_pylist()
             size = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])

@@ -85,6 +85,9 @@ def test_phrases_against_brute_force(monkeypatch, piece, run_on):
     model = G.build(samples)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 900))) for _ in range(30)] + ["", "a" * 700, "abc" * 300, "cab" * 200 + "g", "z" * 50]
     got = G.phrases(model, [G._units(t) for t in texts])
+    for a in model.automata:
+        a.tabulate()
+    assert (G.phrases(model, [G._units(t) for t in texts]) == got).all()
     for t, row in zip(texts, got, strict=True):
         assert [int(n) for n in row] == [brute_phrases(samples[k], t) for k in model.names], t
 
